@@ -11,9 +11,10 @@ shingle hashes and works in these steps.
    set, so only those are sent out, each as a row (token, node).  Their lists'
    lengths are counted over all rows, with a pre-aggregation in each batch.
 3. A node with fewer than l tokens on lists of two nodes or more has no partner
-   and goes.  Of the rest, the l - 1 longest lists are only to be probed; the
-   shorter ones tie a node to its possible partners, and these ties fall into
-   independent blocks (connected components).
+   and goes.  The rest meet again, now only where their sizes allow a link, and
+   the same rule is applied again.  Of a node's lists the l - 1 longest are only
+   to be probed; the shorter ones tie it to its possible partners, and these
+   ties fall into independent blocks (connected components).
 4. In each block an inverted index is searched: DivideSkip merges the short
    lists with a heap, keeps the nodes seen T - L times, binary-probes the L long
    lists and so retains the nodes that reach the required overlap.
@@ -50,7 +51,7 @@ BLOCK = 3_000_000
 BROADCAST_ROWS = 1_000_000
 #: Short lists with more entries than this in all are merged by sorting instead of by a heap.
 HEAP_ENTRIES = 2_048
-_PRIME = 20
+_SHARE = 10
 
 
 def required(n: int, percent: int) -> int:
@@ -60,7 +61,7 @@ def required(n: int, percent: int) -> int:
 
 def extra(n: int) -> int:
     """l: how many shared tokens the prefixes of two partners must have, if both have n."""
-    return 1 + n // _PRIME
+    return 1 + n // _SHARE
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -300,19 +301,23 @@ def _search(percent: int):
 
 def candidate_ties(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Survivors ``(node, n)`` and ties ``(u, v)`` between possible partners (steps 2 and 3)."""
+    least = F.expr(f"1 + cast(ceil({percent}D * n / 100) as long) div {_SHARE}")
     postings = texts.mapInArrow(_postings(k, percent), "token long, node long, n long")
-    lists = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    least = F.expr(f"1 + cast(ceil({percent}D * n / 100) as long) div {_PRIME}")
-    shared = (
-        postings.join(lists, "token")
-        .groupBy("node", "n")
-        .agg(F.sort_array(F.collect_set(F.struct("df", "token", "hub"))).alias("on"))
-        .where(F.size("on") >= least)
-        .select("node", "n", F.array_distinct(F.transform(F.slice("on", F.lit(1), (F.size("on") - least + 1).cast("int")), lambda x: x["hub"])).alias("hubs"))
-    )
-    survivors = durable(shared)
-    ties = survivors.select(F.col("node").alias("u"), F.explode("hubs").alias("v"))
-    return survivors, ties
+    lists = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "df")
+    first = postings.join(lists, "token").groupBy("node", "n").agg(F.collect_set(F.struct("df", "token")).alias("on")).where(F.size("on") >= least)
+    held = durable(first)
+    # Partners' sizes differ by a factor of 100 / percent at most, so they share one of two neighbouring bands.
+    band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+    rows = held.select("node", "n", F.explode("on").alias("t"), band.alias("b")).select("node", "n", "t.df", "t.token", F.explode(F.array("b", F.col("b") + 1)).alias("band"))
+    near = rows.groupBy("token", "band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "band", "hub")
+    met = rows.join(near, ["token", "band"]).groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token", "hub"))).alias("all"))
+    tokens = F.array_distinct(F.transform("all", lambda x: F.struct(x["df"].alias("df"), x["token"].alias("token"))))
+    ranked = met.withColumn("tokens", tokens).where(F.size("tokens") >= least)
+    last = F.element_at("tokens", (F.size("tokens") - least + 1).cast("int"))
+    short = ranked.withColumn("last", last).withColumn("hubs", F.array_distinct(F.transform(F.filter("all", lambda x: F.struct(x["df"].alias("df"), x["token"].alias("token")) <= F.col("last")), lambda x: x["hub"])))
+    survivors = durable(short.select("node", "n", "hubs"))
+    discard(held)
+    return survivors, survivors.select(F.col("node").alias("u"), F.explode("hubs").alias("v"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
