@@ -310,9 +310,8 @@ def candidate_ties(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, D
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
     rows = held.select("node", "n", F.explode("on").alias("t"), band.alias("b")).select("node", "n", "t.df", "t.token", F.explode(F.array("b", F.col("b") + 1)).alias("band"))
     near = rows.groupBy("token", "band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "band", "hub")
-    met = rows.join(near, ["token", "band"]).groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token", "hub"))).alias("all"))
-    tokens = F.array_distinct(F.transform("all", lambda x: F.struct(x["df"].alias("df"), x["token"].alias("token"))))
-    ranked = met.withColumn("tokens", tokens).where(F.size("tokens") >= least)
+    met = rows.join(near, ["token", "band"]).groupBy("node", "n").agg(F.collect_list(F.struct("df", "token", "hub")).alias("all"), F.sort_array(F.collect_set(F.struct("df", "token"))).alias("tokens"))
+    ranked = met.where(F.size("tokens") >= least)
     last = F.element_at("tokens", (F.size("tokens") - least + 1).cast("int"))
     short = ranked.withColumn("last", last).withColumn("hubs", F.array_distinct(F.transform(F.filter("all", lambda x: F.struct(x["df"].alias("df"), x["token"].alias("token")) <= F.col("last")), lambda x: x["hub"])))
     survivors = durable(short.select("node", "n", "hubs"))
