@@ -122,16 +122,20 @@ class Automaton:
         n = len(word)
         last: list[int | None] = [None] * (n + 1)
         come = [0] * (n + 1)
-        arc = self.arc
+        arc, cells, trie = self.arc, self.cells, self.trie
         for i in range(n):
             before = last[i]
-            at, j = self.trie, i
-            while j < n and (at := at.get(word[j])) is not None:
-                j += 1
-                token = at.get(None)
-                if token is not None and last[j] is None and (i == 0 or arc(before, token)):
-                    last[j] = token
-                    come[j] = i
+            row = before << 20 if i else 0
+            at = trie
+            for j in range(i, n):
+                at = at.get(word[j])
+                if at is None:
+                    break
+                if last[j + 1] is None and (token := at.get(None)) is not None:
+                    known = cells.get(row | token) if i else True
+                    if known or (known is None and arc(before, token)):
+                        last[j + 1] = token
+                        come[j + 1] = i
         out, j = [], n
         while j:
             out.append(last[j])
@@ -161,18 +165,31 @@ class Encoder:
         self.word = regex.compile(_WORD)
         self.bytes = byte_alphabet()
         self.words: dict[str, list[int]] = {}
-        self.ids = _Memory(lambda c: b" ".join(b"%d" % i for i in self.chunk(c)))
-        self.text = _Memory(lambda c: " ".join(self.labels[i] for i in self.chunk(c)).encode())
+        self.ids = _Memory(self, 0)
+        self.text = _Memory(self, 1)
+        self.shown = {i: (b"%d" % i, t.encode()) for i, t in self.labels.items()}
+
+    def remember(self, chunk: bytes) -> tuple[bytes, bytes]:
+        """The ids of a chunk and their labels, each joined by spaces; both are kept."""
+        own = [self.shown[i] for i in self.chunk(chunk)]
+        out = b" ".join([x[0] for x in own]), b" ".join([x[1] for x in own])
+        if len(chunk) < 64:
+            if len(self.ids) > REMEMBERED:
+                self.ids.clear()
+                self.text.clear()
+            self.ids[chunk], self.text[chunk] = out
+        return out
 
     def chunk(self, chunk: bytes) -> list[int]:
         """Ids of a stretch without ASCII white space; nothing reaches across such space."""
         out: list[int] = []
-        for k, part in enumerate(self.split.split(chunk.decode()) if self.split else [chunk.decode()]):
+        text = chunk.decode()
+        for k, part in enumerate(self.split.split(text) if self.split and "<" in text else [text]):
             if k % 2:
                 out.append(self.added[part])
                 continue
-            folded = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for w in self.word.findall(folded):
+            folded = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            for w in (folded,) if folded.isalpha() and folded.isascii() else self.word.findall(folded):
                 out.extend(self.encode_word(w))
         return out
 
@@ -196,16 +213,13 @@ class Encoder:
 
 
 class _Memory(dict):
-    def __init__(self, make) -> None:
-        self.make = make
+    """One side of what an encoder remembers; what is missing is worked out for both sides."""
+
+    def __init__(self, encoder: Encoder, side: int) -> None:
+        self.encoder, self.side = encoder, side
 
     def __missing__(self, key: bytes) -> bytes:
-        out = self.make(key)
-        if len(key) < 64:
-            if len(self) > REMEMBERED:
-                self.clear()
-            self[key] = out
-        return out
+        return self.encoder.remember(key)[self.side]
 
 
 _encoders: dict[str, Encoder] = {}
