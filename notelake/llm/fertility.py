@@ -1,9 +1,10 @@
 """Quality rules with tokeniser fertility (op 3).
 
-A public vocabulary with byte fallback cuts the words of a text.  Three figures
-are taken: characters per token (prose the vocabulary knows has long tokens,
-junk short ones), the share of byte-fallback tokens, and the entropy of the
-text's tokens as a share of the most it could be for so many tokens.  Bands per
+A public vocabulary with byte fallback cuts the words of a text.  Four figures
+are taken: tokens per word (the fertility; marks strewn into words raise it),
+characters per token (prose the vocabulary knows has long tokens, junk short
+ones), the share of byte-fallback tokens, and the entropy of the text's tokens
+as a share of the most it could be for so many tokens.  Bands per
 language, or per script where the language is not listed, reject what lies
 outside.  Words are cut one by one, so a word's tokens are worked out once for
 all its occurrences that a worker sees.
@@ -34,24 +35,26 @@ RESULT = "struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines:
 
 @dataclass(frozen=True)
 class Band:
-    """What a text may measure: characters per token, byte share, relative entropy."""
+    """What a text may measure: tokens per word, characters per token, byte share, relative entropy."""
 
+    most_fertile: float
     least_chars: float
     most_chars: float
     most_bytes: float
     least_entropy: float
 
 
-#: By language, else by the script most letters belong to, else OTHER.
+#: By language, else by the script most letters belong to, else OTHER.  The listed
+#: languages' bands leave room around what labelled good documents measure.
 BANDS = {
-    "en": Band(1.45, 8.0, 0.05, 0.35),
-    "de": Band(1.45, 8.0, 0.05, 0.35),
-    "fr": Band(1.45, 8.0, 0.05, 0.35),
-    "es": Band(1.45, 8.0, 0.05, 0.35),
-    "latin": Band(1.30, 8.0, 0.10, 0.30),
-    "cyrillic": Band(1.20, 8.0, 0.10, 0.30),
+    "en": Band(3.5, 1.6, 8.0, 0.05, 0.40),
+    "de": Band(3.5, 1.7, 8.0, 0.05, 0.40),
+    "es": Band(3.6, 1.5, 8.0, 0.05, 0.40),
+    "fr": Band(3.8, 1.45, 8.0, 0.05, 0.40),
+    "latin": Band(5.0, 1.3, 8.0, 0.10, 0.30),
+    "cyrillic": Band(6.0, 1.2, 8.0, 0.10, 0.30),
 }
-OTHER = Band(0.25, 8.0, 0.95, 0.25)
+OTHER = Band(1e9, 0.25, 8.0, 0.95, 0.25)
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[list(SYMBOLS)] = 1
 
@@ -142,10 +145,10 @@ class Fertility:
 _models: dict[bytes, Fertility] = {}
 
 
-def verdict(n_words: int, n_repeat: int, chars: float, share: float, entropy: float, band: Band) -> tuple[bool, bool]:
+def verdict(n_words: int, n_repeat: int, tokens: int, chars: float, share: float, entropy: float, band: Band) -> tuple[bool, bool]:
     """(base_failed, kept)."""
     failed = n_words < MIN_WORDS or 100 * n_repeat > 50 * n_words
-    kept = not failed and band.least_chars <= chars <= band.most_chars and share <= band.most_bytes and entropy >= band.least_entropy
+    kept = not failed and tokens <= band.most_fertile * n_words and band.least_chars <= chars <= band.most_chars and share <= band.most_bytes and entropy >= band.least_entropy
     return failed, kept
 
 
@@ -165,7 +168,7 @@ def quality(docs: DataFrame, model_path: str, text_col: str = "text", lang_col:
             raw = t.as_buffer().to_pybytes() if t.is_valid else b""
             n, chars, symbols, dup, repeat, tokens, per, share, entropy = own.measure(raw)
             band = bands.get(lang.as_py()) or bands.get(script_of(raw), OTHER)
-            failed, kept = verdict(n, repeat, per, share, entropy, band)
+            failed, kept = verdict(n, repeat, tokens, per, share, entropy, band)
             rows.append((n, chars, symbols, dup, repeat, failed, kept, tokens, per, share, entropy))
         names = [x.split(":")[0].strip() for x in RESULT[len("struct<") : -1].split(",")]
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.float64()] * 3
