@@ -35,8 +35,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries after which a worker's memory of words or cells starts anew.
-REMEMBERED = 400_000
+from notelake.llm.common import held
+
+#: Entries after which a worker's memory of chunks, words or cells starts anew (about 200 MB in all).
+REMEMBERED, WORDS, CELLS = 250_000, 150_000, 200_000
 RESULT = "struct<n_tokens: long, ids: array<int>>"
 DIGEST = "struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>"
 _FAR = 1 << 60
@@ -97,7 +99,7 @@ class Automaton:
         key = last << 20 | token
         known = self.cells.get(key)
         if known is None:
-            if len(self.cells) > REMEMBERED:
+            if len(self.cells) > CELLS:
                 self.cells.clear()
             known = self.cells[key] = self._read(last, token)
         return known
@@ -183,7 +185,7 @@ class Encoder:
     def chunk(self, chunk: bytes) -> list[int]:
         """Ids of a stretch without ASCII white space; nothing reaches across such space."""
         out: list[int] = []
-        text = chunk.decode()
+        text = chunk.decode("utf-8", "replace")
         for k, part in enumerate(self.split.split(text) if self.split and "<" in text else [text]):
             if k % 2:
                 out.append(self.added[part])
@@ -200,7 +202,7 @@ class Encoder:
             own[-1] += "</w>"
             known = self.automaton.encode(own)
             if len(w) < 64:
-                if len(self.words) > REMEMBERED:
+                if len(self.words) > WORDS:
                     self.words.clear()
                 self.words[w] = known
         return known
@@ -222,15 +224,8 @@ class _Memory(dict):
         return self.encoder.remember(key)[self.side]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(spec: str) -> Encoder:
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(spec)
-    return _encoders[key]
+    return held(("bpe", spec), lambda: Encoder(spec))
 
 
 def _texts(texts: pa.Array):

@@ -8,6 +8,9 @@ multi-byte character is 0x80 or above and those bytes always belong to a word.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Texts are worked on in slices of about this many bytes, which bounds a worker's memory.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -59,6 +62,25 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+_state: dict = {}
+
+
+def held(key: tuple, make):
+    """A worker's state for one operator, made once; that of any other operator is let go.
+
+    Workers outlive stages, so what one stage remembers would otherwise stay
+    beside what the next one does.
+    """
+    if key not in _state:
+        if _state:
+            _state.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+        _state[key] = make()
+    return _state[key]
+
+
 def byte_class(separators: bytes) -> np.ndarray:
     """A table of 256 flags: True where the byte belongs to a word."""
     table = np.ones(256, dtype=bool)

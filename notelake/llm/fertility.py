@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelake.llm.common import held
+
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 RESULT = "struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines: long, n_repeat_words: long, base_failed: boolean, kept: boolean, n_tokens: long, chars_per_token: double, byte_share: double, token_entropy: double>"
 
 
@@ -142,9 +144,6 @@ class Fertility:
         return out
 
 
-_models: dict[bytes, Fertility] = {}
-
-
 def verdict(n_words: int, n_repeat: int, tokens: int, chars: float, share: float, entropy: float, band: Band) -> tuple[bool, bool]:
     """(base_failed, kept)."""
     failed = n_words < MIN_WORDS or 100 * n_repeat > 50 * n_words
@@ -159,10 +158,7 @@ def quality(docs: DataFrame, model_path: str, text_col: str = "text", lang_col:
     bands = BANDS if bands is None else bands
 
     def run(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        if model.value not in _models:
-            _models.clear()
-            _models[model.value] = Fertility(model.value)
-        own = _models[model.value]
+        own = held(("fertility", model.value), lambda: Fertility(model.value))
         rows = []
         for t, lang in zip(texts, langs, strict=True):
             raw = t.as_buffer().to_pybytes() if t.is_valid else b""

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelake.llm.common import held
+
 REMEMBERED = 300_000
 RESULT = "struct<n_pretokens: long, n_tokens: long>"
 MARK = "▁"
@@ -72,35 +74,28 @@ def trie_counts(scores: Scores, words: list[str]) -> dict[str, int]:
     return out
 
 
-_scores: dict[bytes, Scores] = {}
-_counts: dict[bytes, int] = {}
-
-
 def token_counts(docs: DataFrame, model_path: str, text_col: str = "text") -> Column:
     """A column of ``RESULT`` for ``docs``."""
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: less than a MB
 
     def run(texts: pa.Array) -> pa.Array:
-        if model.value not in _scores:
-            _scores.clear()
-            _counts.clear()
-            _scores[model.value] = Scores(model.value)
-        scores, pre, tokens, at = _scores[model.value], [], [], 0
+        scores, counts = held(("trie", model.value), lambda: (Scores(model.value), {}))
+        pre, tokens, at = [], [], 0
         while at < len(texts):
-            cut, held = [], 0
-            while at < len(texts) and held < 400_000:
+            cut, n_words = [], 0
+            while at < len(texts) and n_words < 400_000:
                 cut.append(texts[at].as_buffer().to_pybytes().split() if texts[at].is_valid else [])
-                held += len(cut[-1])
+                n_words += len(cut[-1])
                 at += 1
-            if len(_counts) > REMEMBERED:
-                _counts.clear()
-            fresh = {w.decode("utf-8", "replace"): w for own in cut for w in own if w not in _counts}
-            for w, n in trie_counts(scores, list(fresh)).items():
-                _counts[fresh[w]] = n
+            if len(counts) > REMEMBERED:
+                counts.clear()
+            fresh = {w: w.decode("utf-8", "replace") for own in cut for w in own if w not in counts}
+            made = trie_counts(scores, list(set(fresh.values())))
+            counts.update({w: made[t] for w, t in fresh.items()})
             for own in cut:
                 pre.append(len(own))
-                tokens.append(int(np.fromiter(map(_counts.__getitem__, own), np.int64, len(own)).sum()))
+                tokens.append(int(np.fromiter(map(counts.__getitem__, own), np.int64, len(own)).sum()))
         return pa.StructArray.from_arrays([pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], names=["n_pretokens", "n_tokens"])
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
