@@ -7,10 +7,11 @@ as Parquet and read again as the next stage's ``docs``.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from notelake.llm import entry
 from notelake.llm.bpe_automaton import bpe_digests
-from notelake.llm.common import checkpoint_dir
+from notelake.llm.common import checkpoint_dir, durable
 from notelake.llm.decontaminate import decontaminate
 from notelake.llm.fertility import quality
 from notelake.llm.jaccard_join import jaccard_join
@@ -24,17 +25,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.withColumn("_quality", quality(docs, entry.PIECES)).where("_quality.kept").drop("_quality")
 
 
+#: Ids up to which a list of them is broadcast (8 bytes each); longer lists join by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _listed(ids: DataFrame) -> DataFrame:
+    held = durable(ids)
+    return F.broadcast(held) if held.count() <= BROADCAST_IDS else held
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays, once.
 
-    Documents without words link with nothing and all stay.
+    Documents without words link with nothing and all stay, as do rows without a
+    doc_id.  Texts are moved only where a doc_id occurs more than once.
     """
     groups = jaccard_join(docs)
-    gone = groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    gone = _listed(groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct())
+    twice = _listed(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     kept = docs.join(gone, "doc_id", "left_anti")
-    worded = F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
-    alone = kept.where(~F.coalesce(worded, F.lit(False)))
-    return kept.where(worded).dropDuplicates(["doc_id"]).unionByName(alone).select(docs.columns)
+    again = kept.join(twice, "doc_id", "left_semi")
+    worded = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    parts = [kept.join(twice, "doc_id", "left_anti"), again.where(~worded), again.where(worded).dropDuplicates(["doc_id"])]
+    return reduce(DataFrame.unionByName, parts).select(docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
