@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from notelake.llm.common import held
 
-#: Entries after which a worker's memory of chunks, words or cells starts anew (about 200 MB in all).
-REMEMBERED, WORDS, CELLS = 250_000, 150_000, 200_000
+#: Entries after which a worker's memory of chunks, words or cells starts anew (about 300 MB in all).
+REMEMBERED, WORDS, CELLS = 400_000, 300_000, 400_000
 RESULT = "struct<n_tokens: long, ids: array<int>>"
 DIGEST = "struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>"
 _FAR = 1 << 60
