@@ -538,10 +538,9 @@ def delta_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), "l_linestatus", "l_returnflag", "l_linenumber")
-    old = li.where("l_linenumber <> 1").select("chunk_id", F.col("l_linestatus").alias("meta_hash"), F.col("l_returnflag").alias("row_hash"))
-    new = li.where("l_linenumber <> 2").select("chunk_id", F.when(F.col("l_linenumber") == 3, "x").otherwise(F.col("l_linestatus")).alias("meta_hash"), F.when(F.col("l_linenumber") == 4, "y").otherwise(F.col("l_returnflag")).alias("row_hash"))
-    return M.chunk_lanes(old, new).groupBy("lane").agg(F.count("*").alias("n"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("meta_hash"), F.md5("text").alias("row_hash"), (F.col("doc_id") % 7).alias("k"))
+    new = d.where("k <> 2").select("chunk_id", F.when(F.col("k") == 3, "x").otherwise(F.col("meta_hash")).alias("meta_hash"), F.when(F.col("k") == 4, "y").otherwise(F.col("row_hash")).alias("row_hash"))
+    return M.chunk_lanes(d.where("k <> 1"), new).groupBy("lane").agg(F.count("*").alias("n"))
 
 
 @query

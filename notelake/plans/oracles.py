@@ -218,7 +218,7 @@ LEFT JOIN (SELECT user_id, CAST(event_id AS VARCHAR) AS v FROM events WHERE even
     "progress": "SELECT CAST(floor(100e0 * count(*) FILTER (WHERE o_orderkey % 3 = 0) / count(*) / 5) * 5 AS BIGINT) AS percent FROM orders",
     "index_rates": "SELECT lang, round(sum(n_chars / 1000e0) / (2e0 * count(*)), 6) AS chunks_per_s, round(count(*) / (2e0 * count(*)), 6) AS files_per_s FROM documents GROUP BY 1",
     "delta_classify": """SELECT CASE WHEN d = 2 THEN 'deleted' WHEN d IN (0, 4, 7, 8, 9) THEN 'clean' ELSE 'dirty' END AS state, count(*) AS n FROM (SELECT doc_id % 10 AS d FROM documents) x GROUP BY 1""",
-    "chunk_diff": """WITH l AS (SELECT CASE l_linenumber WHEN 1 THEN 'embed' WHEN 2 THEN 'remove' WHEN 3 THEN 'patch' WHEN 4 THEN 'reindex' ELSE 'keep' END AS lane FROM lineitem) SELECT lane, count(*) AS n FROM l GROUP BY 1""",
+    "chunk_diff": """WITH l AS (SELECT CASE doc_id % 7 WHEN 1 THEN 'embed' WHEN 2 THEN 'remove' WHEN 3 THEN 'patch' WHEN 4 THEN 'reindex' ELSE 'keep' END AS lane FROM documents) SELECT lane, count(*) AS n FROM l GROUP BY 1""",
     "apply_delta": """WITH c AS (SELECT doc_id AS id, source AS title FROM documents)
 SELECT title, count(*) AS n FROM (SELECT title FROM c WHERE id % 8 <> 0 UNION ALL SELECT 'new' FROM c WHERE id % 8 = 0 UNION ALL SELECT 'more' FROM c WHERE id % 4 = 1) x GROUP BY 1""",
     "compaction_check": "SELECT count(*) AS n, count(*) FILTER (WHERE l_linestatus = 'F') AS dead, count(*) FILTER (WHERE l_linestatus = 'F') >= 0.25 * count(*) AS rebuild FROM lineitem",

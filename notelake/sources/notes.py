@@ -17,7 +17,7 @@ CHUNKS = "chunk_id string, note_path string, title string, content string, headi
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """IO1: whole files with path and time of change."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{md,base}").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("note_path"), F.col("modificationTime").alias("mtime"), F.decode("content", F.lit("UTF-8")).alias("raw"))
+    return files.select(F.col("path").alias("note_path"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("raw"))
 
 
 def indexable(path: Column, prefixes: list[str], ignored: list[str]) -> Column:
