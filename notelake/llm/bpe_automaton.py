@@ -35,10 +35,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import held
+from notelake.llm.common import held, small_batches
 
-#: Entries after which a worker's memory of chunks, words or cells starts anew (about 300 MB in all).
-REMEMBERED, WORDS, CELLS = 400_000, 300_000, 400_000
+#: Entries after which a worker's memory of chunks, words or cells starts anew (about 200 MB in all).
+REMEMBERED, WORDS, CELLS = 400_000, 150_000, 200_000
 RESULT = "struct<n_tokens: long, ids: array<int>>"
 DIGEST = "struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>"
 _FAR = 1 << 60
@@ -167,20 +167,8 @@ class Encoder:
         self.word = regex.compile(_WORD)
         self.bytes = byte_alphabet()
         self.words: dict[str, list[int]] = {}
-        self.ids = _Memory(self, 0)
-        self.text = _Memory(self, 1)
-        self.shown = {i: (b"%d" % i, t.encode()) for i, t in self.labels.items()}
-
-    def remember(self, chunk: bytes) -> tuple[bytes, bytes]:
-        """The ids of a chunk and their labels, each joined by spaces; both are kept."""
-        own = [self.shown[i] for i in self.chunk(chunk)]
-        out = b" ".join([x[0] for x in own]), b" ".join([x[1] for x in own])
-        if len(chunk) < 64:
-            if len(self.ids) > REMEMBERED:
-                self.ids.clear()
-                self.text.clear()
-            self.ids[chunk], self.text[chunk] = out
-        return out
+        self.ids = _Memory(self)
+        self.by_text = {b"%d" % i: t.encode() for i, t in self.labels.items()}
 
     def chunk(self, chunk: bytes) -> list[int]:
         """Ids of a stretch without ASCII white space; nothing reaches across such space."""
@@ -215,13 +203,18 @@ class Encoder:
 
 
 class _Memory(dict):
-    """One side of what an encoder remembers; what is missing is worked out for both sides."""
+    """The ids of chunks, joined by spaces; what is missing is worked out."""
 
-    def __init__(self, encoder: Encoder, side: int) -> None:
-        self.encoder, self.side = encoder, side
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
 
     def __missing__(self, key: bytes) -> bytes:
-        return self.encoder.remember(key)[self.side]
+        out = b" ".join([b"%d" % i for i in self.encoder.chunk(key)])
+        if len(key) < 64:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[key] = out
+        return out
 
 
 def encoder(spec: str) -> Encoder:
@@ -240,7 +233,7 @@ def _spec(docs: DataFrame, path: str):
 
 def bpe_digests(docs: DataFrame, path: str, text_col: str = "text") -> Column:
     """Per text the number of tokens, and SHA-256 of the ids and of the decoded text."""
-    spec = _spec(docs, path)
+    spec = _spec(small_batches(docs), path)
 
     def run(texts: pa.Array) -> pa.Array:
         e = encoder(spec.value)
@@ -250,7 +243,7 @@ def bpe_digests(docs: DataFrame, path: str, text_col: str = "text") -> Column:
             ids = b" ".join(filter(None, map(e.ids.__getitem__, chunks)))
             n.append(ids.count(b" ") + 1 if ids else 0)
             ids_sha.append(hashlib.sha256(ids).hexdigest())
-            text_sha.append(hashlib.sha256(b" ".join(filter(None, map(e.text.__getitem__, chunks)))).hexdigest())
+            text_sha.append(hashlib.sha256(b" ".join(map(e.by_text.__getitem__, ids.split()))).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
@@ -259,7 +252,7 @@ def bpe_digests(docs: DataFrame, path: str, text_col: str = "text") -> Column:
 
 def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> Column:
     """Per text the token ids."""
-    spec = _spec(docs, path)
+    spec = _spec(small_batches(docs), path)
 
     def run(texts: pa.Array) -> pa.Array:
         e = encoder(spec.value)
@@ -272,7 +265,7 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> Column:
 
 def bpe_decode(docs: DataFrame, path: str, ids_col: str = "ids") -> Column:
     """Per row the labels of its ids, joined by a space; null for null."""
-    spec = _spec(docs, path)
+    spec = _spec(small_batches(docs), path)
 
     def run(ids: pa.Array) -> pa.Array:
         e = encoder(spec.value)

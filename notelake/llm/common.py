@@ -62,6 +62,19 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of texts that pass between the JVM and a worker at once, unless the session names a number.
+BATCH_ROWS = 1_000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches cut from Spark's default to ``BATCH_ROWS`` rows of text."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY) == "10000":
+        conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    return df
+
+
 _state: dict = {}
 
 

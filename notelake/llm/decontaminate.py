@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import ALNUM, LOWER, grams, slices, words
+from notelake.llm.common import ALNUM, LOWER, grams, slices, small_batches, words
 
 SHINGLE = 3
 #: Bytes of item texts that one broadcast part may hold.
@@ -177,7 +177,7 @@ def item_parts(items: DataFrame, id_col: str, text_col: str, window: int) -> lis
 
 def decontamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> Column:
     """A column of ``RESULT`` for ``docs``: words, words inside any occurring window, ids of the items (sorted)."""
-    sc = docs.sparkSession.sparkContext
+    sc = small_batches(docs).sparkSession.sparkContext
     parts = item_parts(items, item_id, item_text, window)
     first = [sc.broadcast(p) for p in parts]
     texts = docs.select(F.col(text_col).alias("text"))

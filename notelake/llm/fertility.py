@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import held
+from notelake.llm.common import held, small_batches
 
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -154,7 +154,7 @@ def verdict(n_words: int, n_repeat: int, tokens: int, chars: float, share: float
 def quality(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: str | None = "lang", bands: dict[str, Band] | None = None) -> Column:
     """A column of ``RESULT`` for ``docs``."""
     with open(model_path, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: less than a MB
+        model = small_batches(docs).sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: less than a MB
     bands = BANDS if bands is None else bands
 
     def run(texts: pa.Array, langs: pa.Array) -> pa.Array:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import SPACED, U64, discard, durable, grams, mix, slices, words
+from notelake.llm.common import SPACED, U64, discard, durable, grams, mix, slices, small_batches, words
 from notelake.llm.components import connected_components
 
 #: Shingles held at once by one task of the search; 8 bytes each.
@@ -326,7 +326,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     included.  ``percent`` is the least Jaccard similarity in hundredths.
     """
     rows = durable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_rows(k), f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node long"))
-    texts = docs.select(F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(text_col).alias("text"))
     survivors, ties = candidate_ties(texts, k, percent)
     tied = connected_components(ties)
     block = survivors.select("node", "n").join(tied, "node", "left").select("node", "n", F.coalesce("root", "node").alias("block"))

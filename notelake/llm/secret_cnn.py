@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import SPACED, slices, words
+from notelake.llm.common import SPACED, slices, small_batches, words
 
 KINDS = ("assign", "access", "hex", "network")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -262,7 +262,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 def secret_spans(docs: DataFrame, text_col: str = "text") -> Column:
     """A column of ``RESULT`` for ``docs``."""
-    net = docs.sparkSession.sparkContext.broadcast(trained())  # a few KB
+    net = small_batches(docs).sparkSession.sparkContext.broadcast(trained())  # a few KB
 
     def run(texts: pa.Array) -> pa.Array:
         rows = []
@@ -279,7 +279,7 @@ def secret_spans(docs: DataFrame, text_col: str = "text") -> Column:
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; texts without spans, and nulls, stay as they are."""
-    net = docs.sparkSession.sparkContext.broadcast(trained())  # a few KB
+    net = small_batches(docs).sparkSession.sparkContext.broadcast(trained())  # a few KB
 
     def run(texts: pa.Array) -> pa.Array:
         out = texts.to_pylist()

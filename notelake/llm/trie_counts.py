@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import held
+from notelake.llm.common import held, small_batches
 
 REMEMBERED = 300_000
 RESULT = "struct<n_pretokens: long, n_tokens: long>"
@@ -77,7 +77,7 @@ def trie_counts(scores: Scores, words: list[str]) -> dict[str, int]:
 def token_counts(docs: DataFrame, model_path: str, text_col: str = "text") -> Column:
     """A column of ``RESULT`` for ``docs``."""
     with open(model_path, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: less than a MB
+        model = small_batches(docs).sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: less than a MB
 
     def run(texts: pa.Array) -> pa.Array:
         scores, counts = held(("trie", model.value), lambda: (Scores(model.value), {}))
