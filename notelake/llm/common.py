@@ -43,12 +43,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Lets Spark remove a finished write's shuffle files at once instead of when the driver collects garbage.
+_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/notelake-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP_KEY, None)
+    with contextlib.suppress(Exception):
+        spark.conf.set(_CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP_KEY, before)
     return spark.read.schema(schema).parquet(path)
 
 
