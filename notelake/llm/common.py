@@ -58,8 +58,8 @@ def durable(df: DataFrame) -> DataFrame:
     try:
         df.write.parquet(path)
     finally:
-        if before is not None:
-            spark.conf.set(_CLEANUP_KEY, before)
+        with contextlib.suppress(Exception):
+            spark.conf.unset(_CLEANUP_KEY) if before is None else spark.conf.set(_CLEANUP_KEY, before)
     return spark.read.schema(schema).parquet(path)
 
 
