@@ -59,9 +59,17 @@ _CJK = re.compile("[぀-ヿ㐀-鿿가-힯]")
 _CAMEL = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
-def _is_break(c: str) -> bool:
-    kind = unicodedata.category(c)
-    return c in "\n\r" or kind[0] in "ZP" or kind == "Sm"
+class _Spaced(dict):
+    """For str.translate: separators, punctuation and mathematical signs become spaces; each character is judged once."""
+
+    def __missing__(self, code: int) -> int:
+        kind = unicodedata.category(chr(code))
+        self[code] = 32 if code in (10, 13) or kind[0] in "ZP" or kind == "Sm" else code
+        return self[code]
+
+
+_SPACED = _Spaced()
+_WORD = re.compile("[^ ]+")
 
 
 def _segments(fragment: str) -> list[str]:
@@ -75,6 +83,10 @@ def _segments(fragment: str) -> list[str]:
 def tokenize(text: str, derived: bool = True) -> list[str]:
     """AN1-AN5 in full, with glued compounds and case parts if ``derived``."""
     text = re.sub(r"(?<=[^\W\d_])['’]s(?!\w)", "", text)
+    spaced = text.translate(_SPACED)
+    cjk = _CJK.search(text) is not None
+    if not derived and not cjk:
+        return [w for w in spaced.split(" ") if w]
     out: list[str] = []
     run: list[str] = []
 
@@ -83,27 +95,20 @@ def tokenize(text: str, derived: bool = True) -> list[str]:
             out.append("".join(run))
         run.clear()
 
-    at, n = 0, len(text)
-    while at < n:
-        if _is_break(text[at]):
-            if not (text[at] in _GLUE and run and at + 1 < n and not _is_break(text[at + 1])):
-                close()
-            at += 1
-            continue
-        end = at
-        while end < n and not _is_break(text[end]):
-            end += 1
-        word = text[at:end]
-        if _CJK.search(word):
+    last = 0
+    for m in _WORD.finditer(spaced):
+        word, at = m[0], m.start()
+        if at - last != 1 or text[last] not in _GLUE:
+            close()
+        last = m.end()
+        if cjk and _CJK.search(word):
             close()
             out += _segments(word)
-        else:
-            out.append(word)
-            run.append(word)
-            parts = _CAMEL.split(word)
-            if derived and len(parts) > 1:
-                out += parts
-        at = end
+            continue
+        out.append(word)
+        run.append(word)
+        if derived and len(parts := _CAMEL.split(word)) > 1:
+            out += parts
     close()
     return out
 
