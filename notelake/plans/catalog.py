@@ -648,7 +648,7 @@ def directory_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ingest and presentation -----------------------------------------------
 @query
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = N.chunk_notes(N.documents_as_notes(table(spark, sf_dir, "documents")))
+    c = N.chunk_notes(N.documents_as_notes(N.spread(table(spark, sf_dir, "documents"))))
     return c.select("chunk_id", "note_path", "title", F.length("content").alias("n_chars"), F.array_join("tags", ",").alias("tags"), "part")
 
 
@@ -660,7 +660,7 @@ def conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.chunk_notes(N.pages_as_notes(table(spark, sf_dir, "pages"))).select("chunk_id", "note_path", F.length("content").alias("n_chars"), "part")
+    return N.chunk_notes(N.pages_as_notes(N.spread(table(spark, sf_dir, "pages")))).select("chunk_id", "note_path", F.length("content").alias("n_chars"), "part")
 
 
 @query

@@ -59,6 +59,16 @@ def chunk_notes(notes: DataFrame, count: Callable[[str], int] = word_count) -> D
     return notes.select("note_path", "raw").mapInPandas(run, CHUNKS)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the session has cores, dealt over all cores; any other scan as it is.
+
+    Files of one row group cannot be split, which leaves costly functions of
+    their rows to one task.  Large inputs have many splits and are not moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def documents_as_notes(documents: DataFrame) -> DataFrame:
     """The documents table as notes: the source is the folder, the language a tag."""
     front = F.concat(F.lit("---\ntags: ["), F.col("lang"), F.lit("]\nsource: "), F.col("source"), F.lit("\n---\n"))
