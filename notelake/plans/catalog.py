@@ -56,7 +56,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def by_field(c: DataFrame) -> DataFrame:
-    return L.field_terms(c, {"title": F.col("title"), "tags": F.array_join("tags", " "), "content": F.col("content")})
+    return L.field_terms(N.spread(c), {"title": F.col("title"), "tags": F.array_join("tags", " "), "content": F.col("content")})
 
 
 def asked(spark: SparkSession) -> DataFrame:
@@ -173,7 +173,7 @@ def doc_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(A.terms(F.col("text"))).alias("term")).distinct()
+    return N.spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(A.terms(F.col("text"))).alias("term")).distinct()
 
 
 def _words(spark: SparkSession) -> DataFrame:
