@@ -112,6 +112,22 @@ def test_quality_figures(spark):
     assert df.limit(0).select(fertility.quality(df, entry.PIECES)).count() == 0
 
 
+def test_separators_between_words_are_rejected(spark):
+    """Distinct words with a mark after every word go, in each fitted language; the same words as prose stay."""
+    plain = {
+        "en": "when the old ship came back from sea all people of our town went down to meet her crew, because nobody had heard news since early spring; some brought bread, others flowers or warm coats, while children ran along a narrow wall and shouted names they knew well before any sailor could set foot on land again that quiet autumn evening.",
+        "de": "als das alte Schiff vom Meer wieder kam, gingen alle Leute unserer Stadt hinunter zum Hafen, denn niemand hatte seit dem Winter Nachricht von ihm; einige brachten Brot, andere Blumen oder warme Decken, und Kinder liefen auf der Mauer entlang, riefen laut bekannte Namen, bevor ein Matrose seinen Fuß an Land setzen konnte, was sehr lange dauerte.",
+        "es": "cuando el viejo barco regresó del mar toda la gente de nuestro pueblo bajó al puerto, porque nadie tenía noticias desde hace meses; unos llevaban pan, otros flores o mantas, mientras varios niños corrían sobre un muro estrecho y gritaban nombres conocidos antes que algún marinero pudiera poner pie en tierra firme aquella tranquila tarde sin viento.",
+        "fr": "quand le vieux bateau revint de la mer tous les gens du village descendirent au port, car personne ne savait rien depuis cet hiver; certains portaient pain, d'autres fleurs ou manteaux chauds, pendant que des enfants couraient sur un mur étroit et criaient leurs noms avant qu'aucun marin puisse poser pied à terre ce soir-là sans vent.",
+    }
+    rows = [(10 * i + k, mark.join(dict.fromkeys(text.split())), lang) for i, (lang, text) in enumerate(plain.items()) for k, mark in enumerate((" ", " | "))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = df.select("doc_id", fertility.quality(df, entry.PIECES).alias("q")).collect()
+    assert not any(x.q.base_failed for x in got)
+    assert [x.q.kept for x in got] == [True, False] * 4
+    assert all((x.q.same_end > 0.45) == (x.doc_id % 10 == 1) for x in got)
+
+
 # --- URLs ------------------------------------------------------------------
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://", "https://A.Example.COM/en/7x?q#f", "http://example.com/en/6", "https://net/de/", "https://xnet/de/", "http://a.example.net/de/81", "http://example.net/de/9", "ftp://b.org/es", "ftp://b.org/es/#", "http://b.org?x=/es/", "x://" + "a." * 20000 + "com/en/" + "y" * 50000, "http://b.org/es/"]
