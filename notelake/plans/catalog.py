@@ -495,6 +495,16 @@ def span_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.attribute(tasks, spans)
 
 
+@query
+def span_attribution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event takes part: views and clicks open a span, all others are tasks."""
+    e = events(spark, sf_dir).withColumn("ms", F.floor(F.unix_micros("ts") / 1000).cast("long"))
+    opens = F.coalesce(F.col("event_type").isin("view", "click"), F.lit(False))
+    tasks = e.where(~opens).select(F.col("event_id").alias("task_id"), F.col("ms").alias("start"), (F.col("ms") + F.floor(F.col("value") * 100).cast("long")).alias("end"))
+    spans = e.where(opens).select(F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("context"), F.col("ms").alias("start"), (F.col("ms") + 20_000).alias("end"))
+    return T.attribute(tasks, spans)
+
+
 @query
 def crash_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("user_id", "ts", "event_id", F.when(F.col("event_type") == "view", "visibility").otherwise(F.col("event_type")).alias("type"), F.col("event_id").cast("string").alias("detail"))

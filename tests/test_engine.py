@@ -44,6 +44,19 @@ def test_packed_scan_equals_plain(spark):
     assert rows(D.scan(v, q, 15)) == rows(D.scan_packed(v, q, 15))
 
 
+def test_all_events_are_attributed(spark):
+    rows = catalog.events(spark, SF).select("event_id", "event_type", "value", F.floor(F.unix_micros("ts") / 1000).alias("ms")).collect()
+    spans = [(r.ms, f"c{r.event_id}") for r in rows if r.event_type in ("view", "click")]
+    want = {}
+    for r in rows:
+        if r.event_type not in ("view", "click"):
+            end = r.ms + int(r.value * 100 // 1)
+            met = [(min(end, s + 20_000) - max(r.ms, s), s, c) for s, c in spans if min(end, s + 20_000) > max(r.ms, s)]
+            want[r.event_id] = max(met)[2] if met else "idle"
+    assert len(want) + len(spans) == len(rows) and {"idle"} < set(want.values())
+    assert sorted(map(tuple, catalog.REGISTRY["span_attribution_all"](spark, SF).select("task_id", "context").collect())) == sorted(want.items())
+
+
 def test_bound_is_the_best_single_term_score(spark):
     f = catalog.by_field(catalog.chunks(spark, SF)).cache()
     q = spark.createDataFrame([(1, "reat")], "query_id long, text string")
