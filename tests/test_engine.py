@@ -1,6 +1,7 @@
 """Sources, streams, equivalences, and every query against its SQL."""
 
 import os
+from collections import Counter
 
 import __spark_entry__
 import duckdb
@@ -57,6 +58,15 @@ def test_all_events_are_attributed(spark):
     assert sorted(map(tuple, catalog.REGISTRY["span_attribution_all"](spark, SF).select("task_id", "context").collect())) == sorted(want.items())
 
 
+def test_delta_reaches_texts(spark):
+    want = Counter()
+    for r in catalog.by_field(catalog.chunks(spark, SF)).collect():
+        want.update((t, r.field) for t in (set(r.terms) if r.chunk_id % 7 else {"moved"}))
+    got = {(r.term, r.field): r.df for r in catalog.REGISTRY["index_delta_all"](spark, SF).collect()}
+    assert got == dict(want)
+    assert sum(f == "content" for _, f in got) > 1000
+
+
 def test_bound_is_the_best_single_term_score(spark):
     f = catalog.by_field(catalog.chunks(spark, SF)).cache()
     q = spark.createDataFrame([(1, "reat")], "query_id long, text string")
