@@ -71,6 +71,11 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).where("chunk_id < 3").select((F.col("chunk_id") + 1).alias("query_id"), "vector")
 
 
+def every_50th(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of the pure vector searches over a table of any size."""
+    return vectors(spark, sf_dir).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -230,13 +235,31 @@ def sign_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sign_scan_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = D.scan(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 20)
+    return _sign_scan_top(vectors(spark, sf_dir), vector_queries(spark, sf_dir))
+
+
+@query
+def sign_scan_top_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sign_scan_top(vectors(spark, sf_dir), every_50th(spark, sf_dir))
+
+
+def _sign_scan_top(v: DataFrame, q: DataFrame) -> DataFrame:
+    out = D.scan(v, q, 20)
     return out.select("query_id", "chunk_id", *rounded("score"))
 
 
 @query
 def packed_scan_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = D.scan_packed(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 20)
+    return _packed_scan_top(vectors(spark, sf_dir), vector_queries(spark, sf_dir))
+
+
+@query
+def packed_scan_top_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed_scan_top(vectors(spark, sf_dir), every_50th(spark, sf_dir))
+
+
+def _packed_scan_top(v: DataFrame, q: DataFrame) -> DataFrame:
+    out = D.scan_packed(v, q, 20)
     return out.select("query_id", "chunk_id", *rounded("score"))
 
 
@@ -248,8 +271,17 @@ def int8_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def int8_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _int8_rerank(vectors(spark, sf_dir), vector_queries(spark, sf_dir))
+
+
+@query
+def int8_rerank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _int8_rerank(vectors(spark, sf_dir), every_50th(spark, sf_dir))
+
+
+def _int8_rerank(v: DataFrame, q: DataFrame) -> DataFrame:
     score = lambda q, v: V.dot(q, V.dequantise(V.int8_codes(v), V.int8_scale(v)))
-    return D.scan(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 20, score).select("query_id", "chunk_id", *rounded("score"))
+    return D.scan(v, q, 20, score).select("query_id", "chunk_id", *rounded("score"))
 
 
 @query
@@ -264,7 +296,16 @@ def background_std(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cos = D.scan(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 50, V.dot)
+    return _confidences(vectors(spark, sf_dir), vector_queries(spark, sf_dir))
+
+
+@query
+def confidences_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _confidences(vectors(spark, sf_dir), every_50th(spark, sf_dir))
+
+
+def _confidences(v: DataFrame, q: DataFrame) -> DataFrame:
+    cos = D.scan(v, q, 50, V.dot)
     conf = V.confidence(F.col("score"), F.lit(0.01), F.lit(0.125))
     return cos.select("query_id", "chunk_id", F.round(conf, 6).alias("confidence"), F.round(V.match_strength(conf, F.lit(0.4), 0.85, F.col("chunk_id") % 2 == 0), 6).alias("strength"))
 
@@ -405,7 +446,16 @@ def recency_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lexical_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = D.scan(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 40, V.dot)
+    return _lexical_floor(vectors(spark, sf_dir), vector_queries(spark, sf_dir))
+
+
+@query
+def lexical_floor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical_floor(vectors(spark, sf_dir), every_50th(spark, sf_dir))
+
+
+def _lexical_floor(v: DataFrame, q: DataFrame) -> DataFrame:
+    v = D.scan(v, q, 40, V.dot)
     only = F.col("chunk_id") % 4 == 0
     return v.select("query_id", "chunk_id", F.round(S.dense_norm(S.lexical_floor(F.col("score"), only)), 6).alias("dense"))
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 import __spark_entry__
 import duckdb
+import numpy as np
 import pytest
 from notelake.operators import dense as D
 from notelake.operators import lexical as L
@@ -67,6 +68,32 @@ def test_delta_reaches_texts(spark):
     assert sum(f == "content" for _, f in got) > 1000
 
 
+def test_scans_in_blocks(spark, monkeypatch):
+    v, q = catalog.vectors(spark, SF), catalog.every_50th(spark, SF)
+    rows = lambda d: sorted((r.query_id, r["rank"], r.chunk_id) for r in d.collect())
+    want = rows(D.scan(v, q, 15))
+    monkeypatch.setattr(D, "MAX_QUERIES", 4)
+    assert [b.count() for b in D._blocks(q)] == [4, 4, 2]
+    assert rows(D.scan(v, q, 15)) == want == rows(D.scan_packed(v, q, 15))
+
+
+def test_vector_searches_of_every_50th_row(spark):
+    rows = catalog.vectors(spark, SF).collect()
+    ids, m = np.array([r.chunk_id for r in rows]), np.array([r.vector for r in rows], dtype=np.float64)
+    scale = np.abs(m).max(axis=1, keepdims=True) / 127
+    matrices = {"sign_scan_top": (np.where(m >= 0, 1.0, -1.0), 20), "packed_scan_top": (np.where(m >= 0, 1.0, -1.0), 20), "int8_rerank": (np.floor(m / scale + 0.5) * scale, 20), "confidences": (m, 50), "lexical_floor": (m, 40)}
+    asked = {int(i) for i in ids if i % 50 == 0}
+    for name, (other, k) in matrices.items():
+        got = {}
+        for r in catalog.REGISTRY[name + "_all"](spark, SF).collect():
+            got.setdefault(r.query_id, set()).add(r.chunk_id)
+        assert set(got) == asked and len(asked) == 10
+        for i in asked:
+            s = other @ m[ids == i][0]
+            least = np.sort(s)[-k]
+            assert len(got[i]) == k and all(s[ids == c][0] >= least - 1e-9 for c in got[i])
+
+
 def test_bound_is_the_best_single_term_score(spark):
     f = catalog.by_field(catalog.chunks(spark, SF)).cache()
     q = spark.createDataFrame([(1, "reat")], "query_id long, text string")
