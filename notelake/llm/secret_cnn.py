@@ -2,7 +2,10 @@
 
 Base spans come from three fixed patterns and always stay.  Further candidates
 are unbroken runs of 20 letters, digits and ``+/_=-`` or more that hold a digit
-and a letter.  Every candidate, base spans included, is scored by a small
+and a letter, less the base spans in them, and such runs of 8 or more after a name
+like ``pwd`` or ``auth``.  A run is judged by its highest score over windows that
+start every ``STEP`` characters, after each ``/`` and ``=``, and end with it, so a
+secret anywhere in it counts.  Every candidate is scored by a small
 convolutional network over its characters and the context on both sides: an
 embedding of character classes, one convolution, the maximum over places, and a
 logistic output.  It is written in numpy and trained on the driver on labelled
@@ -38,6 +41,8 @@ ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][D
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+NAMED = re.compile(r"""(?:(?:pwd|passphrase|passcode|auth|credentials?|bearer|private_?key|access_?key)["']?(?:\x20*[:=]\x20*|\x20is\x20)|bearer\x20)["']?([A-Za-z0-9+/_=-]{8,})""", re.I)
+NAMES = (b"pwd", b"passphrase", b"passcode", b"auth", b"credential", b"bearer", b"private", b"access")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 RESULT = "struct<n_assign: long, n_access: long, n_hex: long, base_sha256: string, spans: string>"
 
@@ -46,6 +51,8 @@ EXAMPLES, HELD_OUT = 3_000, 1_500
 RECALL, PRECISION = 0.98, 0.99
 BEFORE, INSIDE, AFTER = 24, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
+#: Windows of a run start so far apart; one after a separator needs so many characters left.
+STEP, LEAST = 20, 16
 _EMBED, _FILTERS, _SPAN = 6, 24, 5
 
 
@@ -71,6 +78,13 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return out
 
 
+def starts(text: str, start: int, end: int) -> list[int]:
+    """Where the windows of a run start: together they see all of it."""
+    last = max(start, end - INSIDE)
+    anew = (i + 1 for i in range(start, end - LEAST) if text[i] in "/=")
+    return sorted({*range(start, last, STEP), start, last, *anew})
+
+
 class Network:
     """Embedding, convolution, maximum, logistic; trained with Adam."""
 
@@ -181,6 +195,49 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(x), np.array(y)
 
 
+def labelled_runs(n: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Seeded long runs and short named values: each one's windows, their labels (-1: only part of a secret) and its own label."""
+    r = np.random.default_rng(seed)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    some = lambda chars, k: "".join(chars[i] for i in r.integers(0, len(chars), k))
+    of = lambda options: options[int(r.integers(0, len(options)))]
+    word = lambda: "".join(some("bcdfghklmnprst", 1) + some("aeiou", 1) + of(("", "", "n", "r", "s", "t")) for _ in range(int(r.integers(1, 4))))
+    part = lambda: of((word(), word(), word(), some(digits, int(r.integers(1, 5))), "v" + some(digits, 1), word() + some(digits, 2), word().capitalize(), "2024-01-" + some(digits, 2)))
+    windows, labels, whole = [], [], []
+    for _ in range(n):
+        secret, short = bool(r.integers(0, 2)), r.random() < 0.3
+        before = " ".join(word() for _ in range(3)) + " "
+        if short:
+            before += of(("pwd", "auth", "access_key", "private_key", "bearer", "credential", "passphrase")) + of(("=", ": ", " = ", '="', ' is '))
+            front, back = "", ""
+            plain = of((word() + some(digits, 1), word() + "-" + word() + some(digits, 2), word() + "/" + word() + some(digits, 1), "oauth2-" + word(), word() + "_v" + some(digits, 1), "2024-01-" + some(digits, 2) + "T"))
+            plain = plain if len(plain) >= 8 else plain + "_" + word() + word()
+            value = some(upper + lower + digits, int(r.integers(8, 20))) if secret else plain
+        else:
+            glue = of(("/", "/", "-", "_"))
+            front = of(("", "/")) + glue.join(part() for _ in range(int(r.integers(3, 16))))
+            front += of(("/", "=")) if r.random() < 0.8 else glue
+            back = of(("", "", "/" + part())) if secret else ""
+            value = some(of((upper + lower + digits, upper + lower + digits + "+", digits + "abcdef")), int(r.integers(24, 44))) if secret else glue.join(part() for _ in range(int(r.integers(3, 9))))
+        text = before + front + value + back + of((" ", '"', "\n", ", ", ".")) + word()
+        s, e = len(before), len(before) + len(front) + len(value) + len(back)
+        k = s + len(front), s + len(front) + len(value)
+        at = [s] if short else starts(text, s, e)
+        seen = [min(k[1], i + INSIDE) - max(k[0], i) for i in at]
+        windows.append(np.array([window(text, i, e) for i in at]))
+        labels.append(np.array([0.0 if not secret or m <= 0 else 1.0 if short or m >= 20 else -1.0 for m in seen]))
+        whole.append(float(secret))
+    return windows, labels, np.array(whole)
+
+
+def best(net: Network, windows: list[np.ndarray]) -> np.ndarray:
+    """The highest score of each candidate's windows."""
+    if not windows:
+        return np.empty(0)
+    n = np.cumsum([0, *map(len, windows)])
+    return np.maximum.reduceat(net.score(np.concatenate(windows)), n[:-1])
+
+
 def calibrate(scores: np.ndarray, y: np.ndarray) -> float:
     """The largest threshold with ``RECALL``, raised where ``PRECISION`` needs it."""
     secret = np.sort(scores[y > 0.5])
@@ -195,12 +252,22 @@ def calibrate(scores: np.ndarray, y: np.ndarray) -> float:
 @lru_cache(maxsize=1)
 def trained() -> Network:
     net = Network()
-    net.train(*labelled(EXAMPLES, seed=1))
-    x, y = labelled(HELD_OUT, seed=2)
-    net.threshold = calibrate(net.score(x), y)
+    x, y = labelled(EXAMPLES, seed=1)
+    windows, labels, _ = labelled_runs(EXAMPLES, seed=3)
+    x, y = np.concatenate([x, *windows]), np.concatenate([y, *labels])
+    net.train(x[y >= 0], y[y >= 0])
+    scores, y, group = held_out(net, HELD_OUT, seed=2)
+    net.threshold = min(calibrate(scores[group == g], y[group == g]) for g in range(3))
     return net
 
 
+def held_out(net: Network, n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, labels and groups (0: findings, 1: long runs, 2: those with one window, nearly all short named values) of what was not trained on."""
+    x, y = labelled(n, seed)
+    windows, _, whole = labelled_runs(n, seed + 1_000)
+    return np.concatenate([net.score(x), best(net, windows)]), np.concatenate([y, whole]), np.concatenate([np.zeros(n, int), [1 + (len(w) == 1) for w in windows]])
+
+
 def assignments(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
 
@@ -212,6 +279,20 @@ def _runs(text: str) -> tuple[list, list, list]:
     return access, hexes, other
 
 
+def _mixed(run: str) -> bool:
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
+def _outside(s: int, e: int, base: list[tuple[int, int, int]], least: int) -> list[tuple[int, int]]:
+    """What sorted base spans leave of s to e, in pieces of ``least`` characters or more."""
+    out = []
+    for a, _, b in base:
+        if a < e and s < b:
+            out.append((s, a))
+            s = b
+    return [(a, b) for a, b in [*out, (s, e)] if b - a >= least]
+
+
 def find(texts: pa.Array, net: Network) -> list[tuple[list, list]]:
     """For each text its base spans (start, kind number, end) and those the network adds."""
     out = []
@@ -229,9 +310,10 @@ def find(texts: pa.Array, net: Network) -> list[tuple[list, list]]:
             own = raw[offsets[r] : offsets[r + 1]]
             folded = own.lower()
             named = any(k in folded for k in WORDS) or not own.isascii()
+            called = any(k in folded for k in NAMES)
             base: list[tuple[int, int, int]] = []
             others: list[tuple[int, int]] = []
-            text = own.decode("utf-8", "replace") if named or r in by_row else ""
+            text = own.decode("utf-8", "replace") if named or called or r in by_row else ""
             if named:
                 base += [(s, 0, e) for s, e in assignments(text)]
             for i in by_row.get(r, ()):
@@ -242,16 +324,17 @@ def find(texts: pa.Array, net: Network) -> list[tuple[list, list]]:
                     else:
                         others += [(s + at, e + at) for s, e in spans]
             base.sort()
-            for s, _, e in base:
-                x.append(window(text, s, e))
-                asked.append((lo + r, -1, -1))
-            for s, e in others:
-                if not any(s < b[2] and b[0] < e for b in base):
-                    x.append(window(text, s, e))
+            runs = [p for s, e in others for p in _outside(s, e, base, 20) if _mixed(text[p[0] : p[1]])]
+            for s, e in runs:
+                x.append(np.array([window(text, i, e) for i in starts(text, s, e)]))
+                asked.append((lo + r, s, e))
+            for s, e in (m.span(1) for m in NAMED.finditer(text)) if called else ():
+                if _mixed(text[s:e]) and _outside(s, e, base, 1) == [(s, e)] and (s, e) not in runs:
+                    x.append(window(text, s, e)[None])
                     asked.append((lo + r, s, e))
             out.append((base, []))
-    for (r, s, e), score in zip(asked, net.score(np.array(x)) if x else (), strict=True):
-        if s >= 0 and score >= net.threshold:
+    for (r, s, e), score in zip(asked, best(net, x), strict=True):
+        if score >= net.threshold and not any(a <= s and e <= b for a, _, b in out[r][1]):
             out[r][1].append((s, 3, e))
     return out
 

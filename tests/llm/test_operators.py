@@ -199,6 +199,15 @@ def test_secret_spans(spark):
     assert [x.text for x in red] == ['a [secret]" b', None, "plain"]
 
 
+def test_secrets_anywhere_in_a_run(spark):
+    key = "A8s9dKq2LmZ7xW4eRt6YuIoP3bN5vQ1z"
+    hidden = [f"see /api/v1/projects/customer-data/export/backup/{key} now", f"the_long_name_of_a_variable_in_the_code_base={key}", f"/srv/{'0123abcd' * 4}/projects/customer-data/{key}", "then pwd=hQ7x2Zk39dT and", 'auth: "Zk39dkQ1xW7"']
+    plain = ["see /api/v1/projects/customer-data/export/backup/2024 now", "a-long-and-hyphenated-name-of-a-page-that-goes-on-2023-and-on-for-ever", "auth: required2day", "pwd=/home/user1"]
+    got = [x.text for x in secret_cnn.redact_secrets(docs_of(spark, [*enumerate(hidden + plain)])).orderBy("doc_id").collect()]
+    assert not [t for t in got[: len(hidden)] if key in t or "hQ7x2Zk39dT" in t or "Zk39dkQ1xW7" in t]
+    assert got[len(hidden) :] == plain
+
+
 def test_network_on_held_out_findings():
     net = secret_cnn.trained()
     x, y = secret_cnn.labelled(1500, seed=99)
