@@ -11,9 +11,8 @@ embedding of character classes, one convolution, the maximum over places, and a
 logistic output.  It is written in numpy and trained on the driver on labelled
 findings (``EXAMPLES`` of them, made by a seeded generator: keys, hashes, tokens
 and passwords against identifiers, paths, dates, words and numbers, each within
-code or prose).  The threshold is the largest one that still keeps ``RECALL`` of
-held-out secrets; it is then raised, if need be, until ``PRECISION`` of what it
-accepts is right, so plain text is left alone.
+code or prose).  The threshold is the largest one that still keeps ``RECALL`` of the
+held-out secrets of each group (findings, long runs, short named values).
 
 Only words of 20 bytes or more, found for whole slices of texts at once, are
 looked at for the run-like kinds; nothing is cut off or sampled.
@@ -48,7 +47,7 @@ RESULT = "struct<n_assign: long, n_access: long, n_hex: long, base_sha256: strin
 
 #: Labelled findings to train on, and the held-out ones to calibrate on.
 EXAMPLES, HELD_OUT = 3_000, 1_500
-RECALL, PRECISION = 0.98, 0.99
+RECALL = 0.98
 BEFORE, INSIDE, AFTER = 24, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
 #: Windows of a run start so far apart; one after a separator needs so many characters left.
@@ -239,14 +238,9 @@ def best(net: Network, windows: list[np.ndarray]) -> np.ndarray:
 
 
 def calibrate(scores: np.ndarray, y: np.ndarray) -> float:
-    """The largest threshold with ``RECALL``, raised where ``PRECISION`` needs it."""
+    """The largest threshold with ``RECALL``."""
     secret = np.sort(scores[y > 0.5])
-    threshold = float(secret[int((1 - RECALL) * len(secret))])
-    for t in sorted({threshold, *scores[scores >= threshold].tolist()}):
-        taken = scores >= t
-        if (y[taken] > 0.5).mean() >= PRECISION:
-            return t
-    return 1.0
+    return float(secret[int((1 - RECALL) * len(secret))])
 
 
 @lru_cache(maxsize=1)

@@ -199,6 +199,12 @@ def test_secret_spans(spark):
     assert [x.text for x in red] == ['a [secret]" b', None, "plain"]
 
 
+def test_recall_is_kept_where_precision_is_low():
+    r = np.random.default_rng(1)
+    scores, y = r.random(2_000), (r.random(2_000) < 0.5).astype(float)  # scores that say nothing
+    assert (scores[y > 0.5] >= secret_cnn.calibrate(scores, y)).mean() >= secret_cnn.RECALL
+
+
 def test_secrets_anywhere_in_a_run(spark):
     key = "A8s9dKq2LmZ7xW4eRt6YuIoP3bN5vQ1z"
     hidden = [f"see /api/v1/projects/customer-data/export/backup/{key} now", f"the_long_name_of_a_variable_in_the_code_base={key}", f"/srv/{'0123abcd' * 4}/projects/customer-data/{key}", "then pwd=hQ7x2Zk39dT and", 'auth: "Zk39dkQ1xW7"']
