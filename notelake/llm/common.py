@@ -43,6 +43,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Folders that durable() has made and nobody has removed.
+_made: list[str] = []
+
 #: Lets Spark remove a finished write's shuffle files at once instead of when the driver collects garbage.
 _CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -52,6 +55,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/notelake-{uuid.uuid4().hex}"
     schema = df.schema
+    _made.append(path)
     before = spark.conf.get(_CLEANUP_KEY, None)
     with contextlib.suppress(Exception):
         spark.conf.set(_CLEANUP_KEY, "true")
@@ -60,17 +64,34 @@ def durable(df: DataFrame) -> DataFrame:
     finally:
         with contextlib.suppress(Exception):
             spark.conf.unset(_CLEANUP_KEY) if before is None else spark.conf.set(_CLEANUP_KEY, before)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._notelake_path = path
+    return out
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _made:
+        _made.remove(folder)
 
 
 def discard(df: DataFrame) -> None:
     """Remove the files of a table made by :func:`durable` once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/notelake-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    folder = df.__dict__.get("_notelake_path")
+    if folder:
+        remove(df.sparkSession, folder)
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """At the end removes the tables that were made within, for work whose result has been written elsewhere."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for folder in [m for m in _made if m not in before]:
+            remove(spark, folder)
 
 
 #: Rows of texts that pass between the JVM and a worker at once, unless the session names a number.

@@ -2,7 +2,7 @@
 
 A document is the set of its distinct k-word shingles.  Two documents link when
 100 * intersection >= 75 * union.  The join is exact up to equality of 64-bit
-shingle hashes and works in these steps.
+hashes of shingles and sets and works in these steps.
 
 1. Texts with equal sets share one *node*; links are sought between nodes only,
    so a group of copies of any size costs one node.
@@ -13,14 +13,21 @@ shingle hashes and works in these steps.
 3. A node with fewer than l tokens on lists of two nodes or more has no partner
    and goes.  The rest meet again, now only where their sizes allow a link, and
    the same rule is applied again.  Of a node's lists the l - 1 longest are only
-   to be probed; the shorter ones tie it to its possible partners, and these
-   ties fall into independent blocks (connected components).
-4. In each block an inverted index is searched: DivideSkip merges the short
-   lists with a heap, keeps the nodes seen T - L times, binary-probes the L long
-   lists and so retains the nodes that reach the required overlap.
-   Links inside a component that already holds together change nothing and are
-   skipped.  A block above ``BLOCK`` shingles is dealt into parts, and every
-   pair of parts is searched in a task of its own: exact, in bounded memory.
+   to be probed; the shorter ones tie it to their hub, the smallest node on the
+   list.  Two partners share a hub at least.
+4. The nodes of a hub are dealt into groups of about ``GROUP`` shingles, the hub
+   in each, and every group is searched.  What has met now bears one label.
+5. Where all nodes tied to a hub bear one label, every pair of them is settled.
+   The rest, few as a rule, send out all their shingles: step 3 is repeated with
+   l = T, where the T - 1 longest lists, those of passages that many documents
+   share, tie nothing.  Nodes that hubs with several labels still tie form
+   blocks (connected components).  A block is dealt into parts of about
+   ``BLOCK`` shingles by label, and each pair of parts that does not bear one
+   label throughout is searched in a task of its own: exact, in bounded memory.
+
+A search takes the sets by size.  DivideSkip merges the short lists with a heap,
+keeps the nodes seen T - L times, binary-probes the L long lists and so retains
+the nodes that reach the required overlap.
 
 Defined cases: null or wordless text has an empty set and links with nothing;
 fewer than k words make one shingle of the whole sequence; repeated rows and
@@ -33,24 +40,23 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.llm.common import SPACED, U64, discard, durable, grams, mix, slices, small_batches, words
 from notelake.llm.components import connected_components
 
-#: Shingles held at once by one task of the search; 8 bytes each.
-BLOCK = 3_000_000
-#: Survivor rows of (node, block) up to which that side is broadcast (24 bytes each).
-BROADCAST_ROWS = 1_000_000
-#: Short lists with more entries than this in all are merged by sorting instead of by a heap.
-HEAP_ENTRIES = 2_048
+#: Shingles of one group around a hub, and of one part of a block; 8 bytes each.
+GROUP, BLOCK = 32_768, 32_768
+#: Nodes up to which a list of them is broadcast (8 bytes each).
+BROADCAST_NODES = 1_000_000
+#: Places that a step of the heap covers.
+SPAN = 4_096
 _SHARE = 10
 
 
@@ -140,6 +146,11 @@ def _posting_batch(tokens: list, nodes: list, sizes: list) -> pa.RecordBatch:
 
 
 def _sets(k: int):
+    def batch(nodes: list, sets: list) -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), own], names=["node", "shingles"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
@@ -149,146 +160,114 @@ def _sets(k: int):
                     continue
                 seen.add(node)
                 nodes.append(node)
-                sets.append(s.tobytes())
+                sets.append(s)
                 held += len(s)
                 if held > 300_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                    yield batch(nodes, sets)
                     nodes, sets, held = [], [], 0
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                yield batch(nodes, sets)
 
     return run
 
 
-def heap_merge(lists: list, least: int) -> list[int]:
-    """Entries that occur on at least ``least`` of the sorted lists (MergeSkip).
+def heap_merge(lists: list[np.ndarray], least: int, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that occur on at least ``least`` of the sorted lists, and how often (MergeSkip by spans).
 
-    The heap holds the lists' heads.  When a head occurs too seldom, the
-    ``least - 1`` smallest heads are taken off and jump, by binary search, to
-    the next head: what they skip cannot reach ``least``.
+    The heap holds the lists' heads.  The lists whose heads lie within ``span``
+    of the smallest one give up their entries there, which are counted together;
+    if they are fewer than ``least``, nothing in the span can occur often enough
+    and it is passed over.  The heads then jump, by binary search, past the span.
     """
-    heap = [(x[0], i, 0) for i, x in enumerate(lists) if len(x)]
+    heap = [(int(x[0]), i, 0) for i, x in enumerate(lists) if len(x)]
     heapq.heapify(heap)
-    out = []
-    while len(heap) >= least:
-        head, popped = heap[0][0], []
-        while heap and heap[0][0] == head:
-            popped.append(heapq.heappop(heap))
-        if len(popped) >= least:
-            out.append(head)
-            target = head + 1
-        else:
-            while heap and len(popped) < least - 1:
-                popped.append(heapq.heappop(heap))
-            if not heap:
-                break
-            target = max(heap[0][0], head + 1)
-        for _, i, at in popped:
-            at = bisect_left(lists[i], target, at)
-            if at < len(lists[i]):
-                heapq.heappush(heap, (lists[i][at], i, at))
-    return out
-
-
-def occurrences(lists: list, t: int) -> list[int]:
-    """Entries on at least ``t`` of the sorted lists, by DivideSkip."""
+    entries, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while heap and len(heap) >= least:
+        low = heap[0][0]
+        taken, back = [], []
+        while heap and heap[0][0] < low + span:
+            _, i, at = heapq.heappop(heap)
+            end = at + int(np.searchsorted(lists[i][at:], low + span))
+            taken.append(lists[i][at:end])
+            if end < len(lists[i]):
+                back.append((int(lists[i][end]), i, end))
+        if len(taken) >= least:
+            n = np.bincount(np.concatenate(taken) - low)
+            often = np.flatnonzero(n >= max(1, least))
+            entries.append(often + low)
+            counts.append(n[often])
+        for x in back:
+            heapq.heappush(heap, x)
+    return np.concatenate(entries), np.concatenate(counts)
+
+
+def occurrences(lists: list[np.ndarray], t: int, needed=None) -> np.ndarray:
+    """Entries on at least ``t`` of the sorted lists, or on ``needed(entries)`` (``t`` or more for each), by DivideSkip."""
     if len(lists) < t or t < 1:
-        return []
+        return np.empty(0, np.int64)
     lists = sorted(lists, key=len)
-    longest = len(lists[-1])
-    n_long = min(t - 1, int(t / (0.01 * math.log2(longest + 1) + 1)))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    if sum(map(len, short)) <= HEAP_ENTRIES:
-        found = heap_merge(short, t - n_long)
-        counts = {x: sum(1 for s in short if (p := bisect_left(s, x)) < len(s) and s[p] == x) for x in found}
-    else:
-        entry, times = np.unique(np.concatenate([np.asarray(s, dtype=np.int64) for s in short]), return_counts=True)
-        counts = dict(zip(entry[times >= t - n_long].tolist(), times[times >= t - n_long].tolist(), strict=True))
-    out = []
-    for x, count in counts.items():
-        left = n_long
-        for s in long:
-            if count >= t or count + left < t:
-                break
-            left -= 1
-            p = bisect_left(s, x)
-            count += p < len(s) and s[p] == x
-        if count >= t:
-            out.append(x)
-    return out
-
-
-class _Union:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-
-def search_block(sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int]]:
+    n_long = min(t - 1, int(t / (0.01 * math.log2(len(lists[-1]) + 1) + 1)))
+    found, count = heap_merge(lists[: len(lists) - n_long], t - n_long)
+    least = np.full(len(found), t) if needed is None else needed(found)
+    for left, x in zip(range(n_long, -1, -1), [*lists[len(lists) - n_long :], None], strict=True):
+        live = count + left >= least
+        found, count, least = found[live], count[live], least[live]
+        if x is None or not len(found):
+            break
+        at = np.minimum(np.searchsorted(x, found), len(x) - 1)
+        count = count + (x[at] == found)
+    return found
+
+
+def search_block(sets: list[np.ndarray], percent: int = 75, labels: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join the components of the sets (indices); exact.
 
-    Sets are taken by size.  Each queries the index of those before it; the
-    partners found are checked in full, one at least for every component.
+    Sets are taken by size; each queries the lists of those before it that are
+    large enough.  Sets of one label (if any are given) are joined already.
     """
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    every = np.concatenate([sets[i] for i in order])
-    tokens, ids = np.unique(every, return_inverse=True)
-    shared = np.bincount(ids, minlength=len(tokens)) > 1
-    ends = np.cumsum([len(sets[i]) for i in order])
-    index: dict[int, list[int]] = {}
-    union, links = _Union(len(sets)), []
-    sizes = [len(sets[i]) for i in order]
-    ranked = []
-    for at, end in enumerate(ends):
-        own = ids[end - sizes[at] : end]
-        own = own[shared[own]].tolist()
-        ranked.append(own)
-        n = sizes[at]
+    sizes = np.array([len(sets[i]) for i in order])
+    ends = np.cumsum(sizes)
+    _, ids, times = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    # A list holds the places of the sets with its token; where[i] is the place of the group's i-th shingle in all lists.
+    by_token = np.argsort(ids, kind="stable")
+    entries = np.repeat(np.arange(len(sets)), sizes)[by_token]
+    begin = np.cumsum(times) - times
+    where = np.empty(len(ids), np.int64)
+    where[by_token] = np.arange(len(ids))
+    root = np.arange(len(sets)) if labels is None else np.unique([labels[i] for i in order], return_inverse=True)[1]
+    links = []
+    for at, n in enumerate(sizes.tolist()):
         t = required(n, percent)
-        if len(own) >= t:
-            low = -(-percent * n // 100)
-            lists = [x for w in own if (x := index.get(w))]
-            if len(lists) >= t:
-                by_root: dict[int, list[int]] = {}
-                for y in _partners(lists, t, union, sizes, low):
-                    by_root.setdefault(union.find(y), []).append(y)
-                for root, near in by_root.items():
-                    for y in reversed(near):
-                        both = len(np.intersect1d(sets[order[at]], sets[order[y]], assume_unique=True))
-                        if 100 * both >= percent * (n + sizes[y] - both):
-                            union.up[union.find(root)] = union.find(at)
-                            links.append((order[at], order[y]))
-                            break
-        for w in own:
-            index.setdefault(w, []).append(at)
+        low = int(np.searchsorted(sizes, t))
+        if (root[low:at] == root[at]).all():
+            continue
+        own = slice(ends[at] - n, ends[at])
+        lists = [x for b, e in zip(begin[ids[own]].tolist(), where[own].tolist(), strict=True) if len(x := entries[b:e]) and x[-1] >= low]
+        lists = [x[np.searchsorted(x, low) :] for x in lists] if low and len(lists) >= t else lists
+        near = occurrences(lists, t, lambda y, n=n: -(-percent * (n + sizes[y]) // (100 + percent)))
+        for other, first in zip(*np.unique(root[near], return_index=True), strict=True):
+            if other != root[at]:
+                links.append((order[at], order[int(near[first])]))
+                root[root == other] = root[at]
     return links
 
 
-def _partners(lists: list, t: int, union: _Union, sizes: list[int], low: int) -> list[int]:
-    return [y for y in occurrences(lists, t) if sizes[y] >= low]
-
-
 def _search(percent: int):
-    def blocks(batches: Iterable[pa.RecordBatch]):
+    def groups(batches: Iterable[pa.RecordBatch]):
         for b in batches:
-            yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            where, every = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy().view(U64)
+            for i, (task, node, label) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                yield task, node, label, every[where[i] : where[i + 1]].copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u: list[int] = []
         v: list[int] = []
-        for _, rows in groupby(blocks(batches), key=lambda x: x[0]):
-            own: dict[int, np.ndarray] = {}
-            for _, node, s in rows:
-                if node not in own:
-                    own[node] = np.frombuffer(s, dtype=U64)
+        for _, rows in groupby(groups(batches), key=lambda x: x[0]):
+            own = {node: (label, s) for _, node, label, s in rows}
             if len(own) > 1:
-                nodes = list(own)
-                for i, j in search_block(list(own.values()), percent):
+                nodes, labels = list(own), [x[0] for x in own.values()]
+                for i, j in search_block([x[1] for x in own.values()], percent, labels):
                     u.append(nodes[i])
                     v.append(nodes[j])
             if len(u) > 100_000:
@@ -299,10 +278,32 @@ def _search(percent: int):
     return run
 
 
-def candidate_ties(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Survivors ``(node, n)`` and ties ``(u, v)`` between possible partners (steps 2 and 3)."""
-    least = F.expr(f"1 + cast(ceil({percent}D * n / 100) as long) div {_SHARE}")
-    postings = texts.mapInArrow(_postings(k, percent), "token long, node long, n long")
+def searched(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(u, v)`` of ``placed`` rows ``(task, node, label)``: a search in each task."""
+    full = placed.join(sets, "node").select("task", "node", "label", "shingles")
+    return full.repartition("task").sortWithinPartitions("task").mapInArrow(_search(percent), "u long, v long")
+
+
+def node_column(text: Column, k: int = 5) -> Column:
+    """The node of each text's set; null without words."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        out: list[int | None] = [None] * len(texts)
+        for i, s in shingle_sets(texts, k):
+            out[i] = node_of(s) if len(s) else None
+        return pa.array(out, pa.int64())
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "long")(text)
+
+
+def candidate_ties(postings: DataFrame, least: str, percent: int) -> DataFrame:
+    """``(u, n, v)``: the nodes that may have partners and the hubs of their short lists.
+
+    ``postings`` are rows (token, node, n); two partners share ``least`` (SQL, of
+    n) of them or more.
+    """
+    least = F.expr(least)
     lists = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "df")
     first = postings.join(lists, "token").groupBy("node", "n").agg(F.collect_set(F.struct("df", "token")).alias("on")).where(F.size("on") >= least)
     held = durable(first)
@@ -314,9 +315,47 @@ def candidate_ties(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, D
     ranked = met.where(F.size("tokens") >= least)
     last = F.element_at("tokens", (F.size("tokens") - least + 1).cast("int"))
     short = ranked.withColumn("last", last).withColumn("hubs", F.array_distinct(F.transform(F.filter("all", lambda x: F.struct(x["df"].alias("df"), x["token"].alias("token")) <= F.col("last")), lambda x: x["hub"])))
-    survivors = durable(short.select("node", "n", "hubs"))
+    ties = durable(short.select(F.col("node").alias("u"), "n", F.explode("hubs").alias("v")))
     discard(held)
-    return survivors, survivors.select(F.col("node").alias("u"), F.explode("hubs").alias("v"))
+    return ties
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
+
+
+def unsettled(ties: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(u, n, label, v)``: the ties of hubs whose nodes do not all bear one label."""
+    named = ties.join(labels.select(F.col("node").alias("u"), "root"), "u", "left").select("u", "n", F.coalesce("root", "u").alias("label"), "v")
+    several = named.groupBy("v").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a < z").select("v")
+    return named.join(several, "v", "left_semi").select("u", "n", "label", "v")
+
+
+def around_hubs(ties: DataFrame) -> DataFrame:
+    """``(task, node, label)``: every node once, in a group of its smallest hub; the hub in each of its groups."""
+    of = ties.groupBy("u", "n").agg(F.min("v").alias("hub"))
+    dealt = of.groupBy("hub").agg(F.ceil(F.sum("n") / GROUP).alias("groups"), F.count("*").alias("m"))
+    dealt = dealt.join(of.select(F.col("u").alias("hub"), F.col("hub").alias("above")), "hub", "left").where("m > 1 or above <> hub").select("hub", "groups")
+    members = of.join(dealt, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("u"), F.col("groups"))).alias("task"), F.col("u").alias("node"))
+    heads = dealt.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part")).select(F.xxhash64("hub", "part").alias("task"), F.col("hub").alias("node"))
+    return members.unionByName(heads).distinct().withColumn("label", F.col("node"))
+
+
+def pairs_of_parts(open_ties: DataFrame) -> DataFrame:
+    """``(task, node, label)``: each block dealt into parts by label, a task for each pair of parts with several labels."""
+    blocks = connected_components(open_ties.select("u", "v"))
+    nodes = open_ties.select(F.col("u").alias("node"), "n", "label").distinct()
+    nodes = nodes.join(blocks, "node", "left").select("node", "n", "label", F.coalesce("root", "node").alias("block"))
+    heavy = nodes.groupBy("block", "label").agg(F.sum("n").alias("w")).withColumn("heavy", F.col("w") > BLOCK)
+    light = heavy.where("not heavy").groupBy("block").agg(F.ceil(F.sum("w") / BLOCK).alias("parts"))
+    sized = heavy.join(light, "block", "left").select("block", "label", F.when(F.col("heavy"), F.col("label")).alias("of"), F.when(F.col("heavy"), F.ceil(F.col("w") / BLOCK)).otherwise(F.col("parts")).alias("parts"))
+    own = nodes.join(sized, ["block", "label"]).select("block", "node", "label", "of", F.pmod(F.xxhash64(F.when(F.col("of").isNull(), F.col("label")).otherwise(F.col("node"))), F.col("parts")).alias("part"))
+    own = durable(own.withColumn("id", F.xxhash64("block", "of", "part")))
+    parts = own.select("block", "of", "id").distinct()
+    other = parts.select("block", F.col("of").alias("of2"), F.col("id").alias("id2"))
+    pairs = parts.join(other, "block").where("(id < id2 or (id = id2 and of is null)) and not (of <=> of2 and of is not null)")  # a block has few parts
+    tasks = pairs.select("id", F.xxhash64("id", "id2").alias("task")).unionByName(pairs.select(F.col("id2").alias("id"), F.xxhash64("id", "id2").alias("task"))).distinct()
+    return own.join(tasks, "id").select("task", "node", "label")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -325,24 +364,45 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``component_id`` is the smallest id reachable by links, the row's own
     included.  ``percent`` is the least Jaccard similarity in hundredths.
     """
+    rows, components = components_of(docs, id_col, text_col, k, percent)
+    return rows.join(components, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """``(id, n_shingles, node)`` for every row, and ``(node, root, component_id)`` for every distinct set.
+
+    A node is a 64-bit digest of a set: among 10^9 distinct texts two unequal ones
+    bear the same with a chance of 0.03.
+    """
     rows = durable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_rows(k), f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node long"))
     texts = small_batches(docs).select(F.col(text_col).alias("text"))
-    survivors, ties = candidate_ties(texts, k, percent)
-    tied = connected_components(ties)
-    block = survivors.select("node", "n").join(tied, "node", "left").select("node", "n", F.coalesce("root", "node").alias("block"))
-    weight = block.groupBy("block").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1")
-    placed = durable(block.join(weight, "block").select("node", "block", F.ceil(F.col("total") * 2 / BLOCK).cast("int").alias("parts")).withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts"))))
-    few = placed.count() <= BROADCAST_ROWS
-    sets = texts.mapInArrow(_sets(k), "node long, shingles binary").join(F.broadcast(placed) if few else placed, "node")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = sets.select("block", "node", "shingles", own.alias("own"), other.alias("other"))
-    keyed = dealt.select(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "shingles")
-    links = keyed.repartition("task").sortWithinPartitions("task").mapInArrow(_search(percent), "u long, v long")
-    roots = connected_components(links)
+    full = f"cast(ceil({percent}D * n / 100) as long)"
+    ties = candidate_ties(texts.mapInArrow(_postings(k, percent), "token long, node long, n long"), f"1 + {full} div {_SHARE}", percent)
+    sets = durable(texts.mapInArrow(_sets(k), "node long, shingles array<long>").join(_few(ties.select(F.col("u").alias("node")).distinct()), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    labels = connected_components(searched(around_hubs(ties), sets, percent))
+    rest = durable(unsettled(ties, labels))
+    more = None
+    if not rest.isEmpty():
+        left = sets.join(_few(rest.select(F.col("u").alias("node")).distinct()), "node", "left_semi")
+        again = candidate_ties(left.select(F.explode("shingles").alias("token"), "node", F.size("shingles").cast("long").alias("n")), full, percent)
+        still = durable(unsettled(again, labels))
+        if not still.isEmpty():
+            more = _between_labels(searched(pairs_of_parts(still), sets, percent), labels)
+        discard(again)
+        discard(still)
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    components = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    out = rows.join(components, "node", "left")
-    discard(survivors)
-    return out.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if more is not None:
+        named = named.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "least", F.coalesce("top", "root").alias("root"))
+    components = durable(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id"))
+    for done in (ties, sets, rest):
+        discard(done)
+    return rows, components
+
+
+def _between_labels(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Components ``(node, root)`` of the labels that links join."""
+    for end in ("u", "v"):
+        own = labels.select(F.col("node").alias(end), F.col("root").alias("_root"))
+        links = links.join(own, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    return connected_components(links.select("u", "v"))

@@ -314,8 +314,9 @@ def near_copies(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("block", [300, 3_000_000])
-def test_jaccard_components(spark, monkeypatch, block):
+@pytest.mark.parametrize(("group", "block"), [(1, 300), (32_768, 262_144)])
+def test_jaccard_components(spark, monkeypatch, group, block):
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rows = [*ODD, *near_copies(1), *[(900 + i, "the same few words again and again here") for i in range(60)]]
     got = Counter(map(tuple, jaccard_join.jaccard_join(docs_of(spark, rows)).collect()))
@@ -326,15 +327,66 @@ def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_join(docs_of(spark, ODD).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("heap", [0, 10**9])
-def test_occurrences(monkeypatch, heap):
-    monkeypatch.setattr(jaccard_join, "HEAP_ENTRIES", heap)
+def test_blocks_of_passages_and_chains(spark, monkeypatch):
+    """Texts around one long passage, and copies that drift away from each other; parts of a few sets each."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 200)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 400)
+    r = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(80):
+        own = [f"w{r.randint(0, 10**6)}" for _ in range(r.choice([8, 12, 18, 30]))]
+        rows.append((i, " ".join(own + passage)))
+    words = [f"c{i}" for i in range(100)]
+    for i in range(100, 220):
+        words = list(words)
+        words[r.randrange(len(words))] = f"d{i}"
+        rows.append((i, " ".join(words)))
+    got = Counter(map(tuple, jaccard_join.jaccard_join(docs_of(spark, rows)).collect()))
+    assert got == brute_components(rows)
+
+
+def test_search_block_is_exact():
+    r = random.Random(13)
+    for _ in range(60):
+        base = [r.sample(range(120), r.randint(4, 40)) for _ in range(4)]
+        sets = []
+        for _ in range(r.randint(2, 30)):
+            own = set(r.choice(base))
+            for _ in range(r.randint(0, 6)):
+                own ^= {r.randrange(120)}
+            sets.append(np.array(sorted(own or {1}), dtype=np.uint64))
+        labels = [r.randrange(6) if r.random() < 0.5 else 100 + i for i in range(len(sets))] if r.random() < 0.5 else None
+
+        def components(links):
+            up = list(range(len(sets)))
+
+            def find(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            first = {}
+            for i, label in enumerate(labels or ()):
+                up[find(i)] = find(first.setdefault(label, i))
+            for a, b in links:
+                up[find(a)] = find(b)
+            return [[find(i) == find(j) for j in range(len(sets))] for i in range(len(sets))]
+
+        whole = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(both := np.intersect1d(sets[i], sets[j])) >= 75 * (len(sets[i]) + len(sets[j]) - len(both))]
+        assert components(jaccard_join.search_block(sets, 75, labels)) == components(whole)
+
+
+def test_occurrences():
     r = random.Random(9)
-    for _ in range(200):
-        lists = [sorted(r.sample(range(60), r.randint(1, 40))) for _ in range(r.randint(1, 15))]
+    for _ in range(300):
+        lists = [np.array(sorted(r.sample(range(60), r.randint(1, 40)))) for _ in range(r.randint(1, 15))]
         t = r.randint(1, 12)
-        many = Counter(x for own in lists for x in own)
-        assert sorted(jaccard_join.occurrences(lists, t)) == sorted(x for x, n in many.items() if n >= t)
+        many = Counter(x for own in lists for x in own.tolist())
+        want = sorted(x for x, n in many.items() if n >= t)
+        assert jaccard_join.occurrences(lists, t).tolist() == want
+        entries, counts = jaccard_join.heap_merge(lists, t, r.randint(1, 70))
+        assert entries.tolist() == want and counts.tolist() == [many[x] for x in want]
 
 
 def test_components(spark):
