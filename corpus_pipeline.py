@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``.
+
+Defined cases: an empty table stays empty through all stages; null texts fail the
+quality rules; rows with null or repeated doc_ids are judged one by one; further
+columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -11,10 +15,10 @@ from functools import reduce
 
 from notelake.llm import entry
 from notelake.llm.bpe_automaton import bpe_digests
-from notelake.llm.common import checkpoint_dir, durable
+from notelake.llm.common import checkpoint_dir, durable, remove, swept
 from notelake.llm.decontaminate import decontaminate
 from notelake.llm.fertility import quality
-from notelake.llm.jaccard_join import jaccard_join
+from notelake.llm.jaccard_join import components_of, node_column
 from notelake.llm.secret_cnn import redact_secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return docs.withColumn("_quality", quality(docs, entry.PIECES)).where("_quality.kept").drop("_quality")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(own.alias("row"), quality(docs, entry.PIECES).alias("q")).where("q.kept").select("row.*")
 
 
 #: Ids up to which a list of them is broadcast (8 bytes each); longer lists join by shuffle.
@@ -35,19 +40,27 @@ def _listed(ids: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays, once.
+    """Of each group of linked documents the one with the smallest doc_id stays (null ids last).
 
-    Documents without words link with nothing and all stay, as do rows without a
-    doc_id.  Texts are moved only where a doc_id occurs more than once.
+    Rows are judged by their own texts: those that share a doc_id, or have none,
+    stay or go each for itself.  Where several rows of a group have its smallest
+    id, the smallest set's stays, then the smallest row in JSON.  Documents without
+    words link with nothing and all stay.  Only rows whose doc_id is null or occurs
+    more than once are cut into shingles again and moved.
     """
-    groups = jaccard_join(docs)
-    gone = _listed(groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct())
-    twice = _listed(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = kept.join(twice, "doc_id", "left_semi")
-    worded = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    parts = [kept.join(twice, "doc_id", "left_anti"), again.where(~worded), again.where(worded).dropDuplicates(["doc_id"])]
-    return reduce(DataFrame.unionByName, parts).select(docs.columns)
+    rows, components = components_of(docs)
+    named = rows.join(components.select("node", "root"), "node")
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("b")).select("b.id", "b.node")
+    best = _listed(best)
+    twice = _listed(rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("doc_id")))
+    gone = _listed(rows.where("id is not null and node is not null").join(best, ["id", "node"], "left_anti").select(F.col("id").alias("doc_id")).distinct())
+    once = docs.where("doc_id is not null").join(twice, "doc_id", "left_anti").join(gone, "doc_id", "left_anti")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    shared = docs.where("doc_id is not null").join(twice, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(own.alias("row"), node_column(F.col("text")).alias("node"))
+    wordless = shared.where("node is null").select("row.*")
+    first = shared.where("node is not null").groupBy(F.col("row.doc_id").alias("id"), "node").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    stay = first.alias("a").join(best.alias("b"), F.expr("a.id <=> b.id and a.node = b.node"), "left_semi").select("row.*")
+    return reduce(DataFrame.unionByName, (once, wordless, stay)).select(docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +84,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; every stage's output but the last is removed once the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ""
     for _, stage in STAGES:
         path = f"{checkpoint_dir(spark).rstrip('/')}/notelake-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with swept(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
