@@ -8,6 +8,8 @@ rest is.  Each emitted turn carries its place in the stream, the position of its
 first character within its conversation (the sum of what stands above it) and
 the intervals of the stream that it may attend to: those of its ancestors, with
 neighbours joined, so a conversation without branches has a single interval.
+An assistant's turn has the interval of its (escaped) text under the loss mask,
+without the template around it.  Places, positions and intervals count characters.
 
 The stream is dealt into packs of about ``PACK`` characters that stand alone (a
 training sequence cannot attend outside itself): where a pack or a range of the
@@ -37,15 +39,21 @@ from pyspark.sql import functions as F
 #: Characters after which a new pack begins (at a conversation's start).
 PACK = 1_000_000
 HEAD, TAIL = "### ", " </turn>\n"
-STREAM = "pack string, seq long, parent long, depth int, segment string, start long, chars long, position long, attends array<struct<start: long, end: long>>, loss boolean, leaf string"
+STREAM = "pack string, seq long, parent long, depth int, segment string, start long, chars long, position long, attends array<struct<start: long, end: long>>, loss struct<start: long, end: long>, leaf string"
 _TEXT = re.compile(r"[\\#]|<(?=/turn>)")
 _ROLE = re.compile(r"[\\#:]|<(?=/turn>)")
 _TURN = re.compile(r"### ((?:[^\\:]|\\.)*): (.*) </turn>\n", re.S)
+_MARK = r"\\\g<0>"
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
 def format_turn(role: str, text: str) -> str:
-    return f"{HEAD}{_ROLE.sub(r'\\\g<0>', role)}: {_TEXT.sub(r'\\\g<0>', text)}{TAIL}"
+    return "".join(turn_parts(role, text))
+
+
+def turn_parts(role: str, text: str) -> tuple[str, str, str]:
+    """What stands before a turn's text, the escaped text, and what stands after it."""
+    return f"{HEAD}{_ROLE.sub(_MARK, role)}: ", _TEXT.sub(_MARK, text), TAIL
 
 
 def read_turn(segment: str) -> tuple[str, str]:
@@ -80,11 +88,13 @@ def _layout(pack_chars: int):
                     pack, seq, at, stack, keep = leaf, 0, 0, [], 0
                 del stack[keep:]
                 for k in range(keep, len(turns)):
-                    segment = format_turn(turns[k]["role"], turns[k]["text"])
+                    head, text, tail = turn_parts(turns[k]["role"], turns[k]["text"])
+                    segment, begin = head + text + tail, at + len(head)
+                    loss = {"start": begin, "end": begin + len(text)} if turns[k]["role"] == "assistant" else None
                     parent = stack[-1] if stack else None
                     attends = [] if parent is None else _joined(parent[3], (parent[1], parent[2]))
                     position = parent[4] + parent[2] - parent[1] if parent else 0
-                    out.append((pack, seq, parent[0] if parent else None, k, segment, at, len(segment), position, [{"start": s, "end": e} for s, e in attends], turns[k]["role"] == "assistant", leaf if k == len(turns) - 1 else None))
+                    out.append((pack, seq, parent[0] if parent else None, k, segment, at, len(segment), position, [{"start": s, "end": e} for s, e in attends], loss, leaf if k == len(turns) - 1 else None))
                     stack.append((seq, at, at + len(segment), attends, position))
                     seq += 1
                     at += len(segment)
@@ -100,8 +110,8 @@ def _joined(intervals: list[tuple[int, int]], last: tuple[int, int]) -> list[tup
     return [*intervals, last]
 
 
-_INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_KINDS = {"pack": pa.string(), "seq": pa.int64(), "parent": pa.int64(), "depth": pa.int32(), "segment": pa.string(), "start": pa.int64(), "chars": pa.int64(), "position": pa.int64(), "attends": _INTERVALS, "loss": pa.bool_(), "leaf": pa.string()}
+_INTERVAL = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_KINDS = {"pack": pa.string(), "seq": pa.int64(), "parent": pa.int64(), "depth": pa.int32(), "segment": pa.string(), "start": pa.int64(), "chars": pa.int64(), "position": pa.int64(), "attends": pa.list_(_INTERVAL), "loss": _INTERVAL, "leaf": pa.string()}
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -120,7 +130,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack, stack = None, []
     for b in batches:
         out = []
-        for own, depth, segment, chars, position, loss, leaf in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+        for own, depth, segment, start, chars, position, loss, leaf in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
             if own != pack:
                 pack, stack = own, []
             del stack[depth:]
@@ -128,8 +138,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             role, text = read_turn(segment)
             turns_sha.update(f"{role}\n{text}\n".encode())
             if loss:
-                loss_sha.update(text.encode())
-                loss_chars += len(text)
+                masked = _ESCAPED.sub(r"\1", segment[loss["start"] - start : loss["end"] - start])
+                loss_sha.update(masked.encode())
+                loss_chars += len(masked)
             stack.append((turns_sha, loss_sha, loss_chars))
             if leaf is not None:
                 out.append((leaf, depth + 1, turns_sha.hexdigest(), loss_chars, loss_sha.hexdigest(), position + chars))
@@ -142,7 +153,7 @@ def read_back(stream: DataFrame) -> DataFrame:
 
     The running digests of shared turns are taken once, like the turns themselves.
     """
-    own = stream.select("pack", "depth", "segment", "chars", "position", "loss", "leaf", "seq")
+    own = stream.select("pack", "depth", "segment", "start", "chars", "position", "loss", "leaf", "seq")
     packs = own.repartition("pack").sortWithinPartitions("pack", "seq").drop("seq")
     return packs.mapInArrow(_read, "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

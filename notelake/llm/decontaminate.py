@@ -12,17 +12,21 @@ ordered by rarity one prefix shingle, the rarest, is enough to join on:
    Length and position bounds drop windows that would not fit the document;
 4. the stretch is compared word by word.
 
-The items' side is small but not bounded by nature, so it is dealt into parts of
-``PART_BYTES`` of text; a task holds one part at a time beside its texts.
-Documents are only scanned: nothing about them is shuffled but shingle counts.
+Items of up to ``ITEM_BYTES`` of text are held by every worker: documents are only
+scanned, and nothing about them is shuffled but shingle counts.  Larger sets of
+items stay tables: the places of documents whose shingle may be an item's (a bit
+map of ``BITS`` bits, the only thing that is broadcast) meet the prefix lists by a
+shuffled join, each with the words around it, against which the window is compared.
 
 Defined cases: null or wordless documents have no words and no hits; null or
-wordless items have no windows; repeated items count once by item_id; repeated
-documents are judged row by row; further columns pass through untouched.
+wordless items have no windows; a null item_id is written "null"; repeated items
+count once by item_id; repeated documents are judged row by row; further columns,
+whatever their names, pass through untouched.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,11 +36,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import ALNUM, LOWER, grams, slices, small_batches, words
+from notelake.llm.common import ALNUM, LOWER, U64, durable, grams, mix, slices, small_batches, words
 
 SHINGLE = 3
-#: Bytes of item texts that one broadcast part may hold.
-PART_BYTES = 8 << 20
+#: Bytes of item texts up to which the windows are held by every worker (about 150 bytes for each byte of text).
+ITEM_BYTES = 1 << 20
+#: Bits of the map of item shingles that larger sets of items are sifted by (8 MB).
+BITS = 1 << 26
 RESULT = "struct<n_words: long, n_hit: long, items: array<string>>"
 
 
@@ -67,7 +73,7 @@ def shingle_hashes(window: tuple[bytes, ...]) -> tuple[int, np.ndarray]:
 
 
 class Part:
-    """A share of the windows: their shingles and, once rarity is known, the prefix lists."""
+    """The windows of a bounded set of items: their shingles and, once rarity is known, the prefix lists."""
 
     def __init__(self, items: list[tuple], window: int) -> None:
         found = windows_of(items, window)
@@ -75,6 +81,7 @@ class Part:
         self.items = [sorted(found[w]) for w in self.windows]
         self.shingles = [shingle_hashes(w) for w in self.windows]
         self.by_size = {k: np.unique(np.concatenate([h for s, h in self.shingles if s == k])) for k in {s for s, _ in self.shingles}}
+        self.prefix: dict = {}
 
     def order(self, counts: dict[tuple[int, int], int]) -> None:
         lists: dict[tuple[int, int], list] = defaultdict(list)
@@ -82,7 +89,6 @@ class Part:
             keys = [(counts.get((k, int(x)), 0), int(x), at) for at, x in enumerate(h)]
             _, rarest, at = min(keys)
             lists[k, rarest].append((i, at))
-        self.prefix = {}
         for k in self.by_size:
             own = np.array(sorted(h for s, h in lists if s == k), dtype=np.uint64)
             self.prefix[k] = (own, [lists[k, int(h)] for h in own])
@@ -99,20 +105,17 @@ def _look_up(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[hit], hit
 
 
-def _count(parts: list[Broadcast]):
+def _count(part: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[int, int], int] = defaultdict(int)
         for b in batches:
             for _, _, data, offsets in slices(b.column(0)):
                 h, row, _, _ = words(data, offsets, ALNUM)
-                made: dict[int, np.ndarray] = {}
-                for p in parts:
-                    for k, keys in p.value.by_size.items():
-                        g = made[k] if k in made else made.setdefault(k, grams(h, row, k)[0])
-                        at, _ = _look_up(keys, g)
-                        place, n = np.unique(at, return_counts=True)
-                        for x, c in zip(keys[place].tolist(), n.tolist(), strict=True):
-                            totals[k, x] += c
+                for k, keys in part.value.by_size.items():
+                    at, _ = _look_up(keys, grams(h, row, k)[0])
+                    place, n = np.unique(at, return_counts=True)
+                    for x, c in zip(keys[place].tolist(), n.tolist(), strict=True):
+                        totals[k, x] += c
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([k for k, _ in totals], pa.int32()),
@@ -143,7 +146,7 @@ def _hits(part: Part, data: np.ndarray, h: np.ndarray, row: np.ndarray, start: n
                     found[r].update(part.items[i])
 
 
-def _judge(parts: list[Broadcast]):
+def _judge(part: Broadcast):
     def run(texts: pa.Array) -> pa.Array:
         n_words, n_hit, items = [], [], []
         for lo, hi, data, offsets in slices(texts):
@@ -151,8 +154,7 @@ def _judge(parts: list[Broadcast]):
             bounds = np.searchsorted(row, np.arange(hi - lo + 1))
             mask = np.zeros(len(h), dtype=bool)
             found: dict[int, set[str]] = defaultdict(set)
-            for p in parts:
-                _hits(p.value, data, h, row, start, end, bounds, mask, found)
+            _hits(part.value, data, h, row, start, end, bounds, mask, found)
             total = np.concatenate([[0], np.cumsum(mask)])
             n_words.extend(np.diff(bounds).tolist())
             n_hit.extend((total[bounds[1:]] - total[bounds[:-1]]).tolist())
@@ -163,33 +165,118 @@ def _judge(parts: list[Broadcast]):
     return run
 
 
-def item_parts(items: DataFrame, id_col: str, text_col: str, window: int) -> list[Part]:
-    """The items, streamed to the driver and dealt into bounded parts."""
-    parts, own, held = [], [], 0
-    for r in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
-        own.append((r.i, r.t))
-        held += len(r.t)
-        if held > PART_BYTES:
-            parts.append(Part(own, window))
-            own, held = [], 0
-    return [*parts, Part(own, window)] if own or not parts else parts
-
-
-def decontamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> Column:
-    """A column of ``RESULT`` for ``docs``: words, words inside any occurring window, ids of the items (sorted)."""
-    sc = small_batches(docs).sparkSession.sparkContext
-    parts = item_parts(items, item_id, item_text, window)
-    first = [sc.broadcast(p) for p in parts]
-    texts = docs.select(F.col(text_col).alias("text"))
+def _held_by_workers(docs: DataFrame, items: DataFrame, text_col: str, window: int) -> Column:
+    sc = docs.sparkSession.sparkContext
+    part = Part([(r.item, r.text) for r in items.toLocalIterator()], window)  # no more than ITEM_BYTES
+    first = sc.broadcast(part)
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     counted = texts.mapInArrow(_count(first), "k int, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n"))
-    counts = {(r.k, r.shingle % (1 << 64)): r.n for r in counted.toLocalIterator()}  # no more than the items have shingles
-    for p, b in zip(parts, first, strict=True):
-        p.order(counts)
-        b.unpersist()
-    return F.arrow_udf(_judge([sc.broadcast(p) for p in parts]), RESULT).asNondeterministic()(F.col(text_col))
+    part.order({(r.k, r.shingle % (1 << 64)): r.n for r in counted.toLocalIterator()})  # no more than the items have shingles
+    first.unpersist()
+    return F.arrow_udf(_judge(sc.broadcast(part)), RESULT).asNondeterministic()(F.col(f"`{text_col}`"))
+
+
+def _cut(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = list(windows_of([(item, text)], window))
+                yield pa.RecordBatch.from_arrays([pa.array([b" ".join(w).decode() for w in own], pa.string()), pa.array([item] * len(own), pa.string())], names=["words", "item"])
+
+    return run
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for w in b.column(0).to_pylist():
+            own = tuple(w.encode().split(b" "))
+            k, h = shingle_hashes(own)
+            rows += [(w, len(own), k, x, at) for at, x in enumerate(h.view(np.int64).tolist())]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["words", "size", "k", "shingle", "at"])
+
+
+def _bit(k: int, shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles + U64(k)) % U64(BITS)).astype(np.int64)
+
+
+def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits set by this task's shingles, as bytes of the map that are not 0."""
+    bits = np.zeros(BITS // 8, np.uint8)
+    for b in batches:
+        k, h = b.column(0).to_numpy(), b.column(1).to_numpy().view(U64)
+        for own in np.unique(k):
+            at = _bit(int(own), h[k == own])
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+    where = np.flatnonzero(bits)
+    yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(bits[where].astype(np.int32))], names=["byte", "bits"])
+
+
+def _met(bits: Broadcast, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, offsets in slices(b.column(0)):
+                h, row, start, end = words(data, offsets, ALNUM)
+                bounds = np.searchsorted(row, np.arange(len(offsets)))
+                raw, folded, rows, keys = data.tobytes(), LOWER[data].tobytes(), [], {}
+                for k in range(1, SHINGLE + 1):
+                    g, at = grams(h, row, k)
+                    bit = _bit(k, g)
+                    hit = np.flatnonzero(bits.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                    for p, x in zip(at[hit].tolist(), g[hit].view(np.int64).tolist(), strict=True):
+                        r = int(row[p])
+                        if r not in keys:
+                            keys[r] = hashlib.md5(raw[offsets[r] : offsets[r + 1]]).hexdigest()
+                        first, last = max(int(bounds[r]), p - window + 1), min(int(bounds[r + 1]), p + window)
+                        rows.append((keys[r], k, x, p - int(bounds[r]), first - int(bounds[r]), [folded[start[j] : end[j]].decode("utf-8", "replace") for j in range(first, last)]))
+                kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["key", "k", "shingle", "place", "first", "around"])
+
+    return run
+
+
+def _joined(docs: DataFrame, items: DataFrame, text_col: str, window: int) -> DataFrame:
+    """``(key, hit, items)`` by the MD5 of a text, for texts with hits; nothing is held but the bit map."""
+    sc = docs.sparkSession.sparkContext
+    cut = durable(items.mapInArrow(_cut(window), "words string, item string").distinct())
+    forms = durable(cut.select("words").distinct().mapInArrow(_forms, "words string, size int, k int, shingle long, at int"))
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in forms.select("k", "shingle").mapInArrow(_map, "byte long, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # BITS / 8 rows at most
+        bits[r["byte"]] = r["bits"]
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    met = durable(texts.mapInArrow(_met(sc.broadcast(bits), window), "key string, k int, shingle long, place int, first int, around array<string>"))
+    rarity = met.groupBy("k", "shingle").agg(F.count("*").alias("n"))
+    prefix = forms.join(rarity, ["k", "shingle"]).groupBy("words", "size").agg(F.min(F.struct("n", "shingle", "at", "k")).alias("p"), F.count("*").alias("m"), F.first("k").alias("of"))
+    whole = prefix.where("m = size - of + 1")  # every shingle of the window occurs somewhere
+    lists = whole.select("words", "size", "p.k", "p.shingle", "p.at")
+    stretch = F.array_join(F.slice("around", (F.col("place") - F.col("at") - F.col("first") + 1).cast("int"), F.col("size")), " ")
+    fits = F.when((F.col("place") - F.col("at") >= F.col("first")) & (F.col("place") - F.col("at") - F.col("first") + F.col("size") <= F.size("around")), stretch == F.col("words"))
+    hits = durable(met.join(lists, ["k", "shingle"]).where(fits).select("key", (F.col("place") - F.col("at")).alias("begin"), "size", "words").distinct())
+    places = hits.select("key", "begin", "size").distinct().groupBy("key").agg(F.collect_list(F.struct("begin", "size")).alias("w"))
+    places = places.select("key", F.size(F.array_distinct(F.flatten(F.transform("w", lambda x: F.sequence(x["begin"], x["begin"] + x["size"] - 1))))).cast("long").alias("n_hit"))
+    named = hits.select("key", "words").distinct().join(cut, "words").select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return places.join(named, "key")
+
+
+def judged(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
+    """``(row, contamination)``: whole rows, and words, words inside any occurring window, ids of the items (sorted)."""
+    small_batches(docs)
+    own = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{item_text}`").alias("text")).where("text is not null")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    if (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= ITEM_BYTES:
+        return docs.select(row.alias("row"), _held_by_workers(docs, own, text_col, window).alias("contamination"))
+    found = _joined(docs, own, text_col, window)
+    lower = F.translate(F.coalesce(F.col("row")[text_col], F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n_words = F.size(F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long")
+    keyed = docs.select(row.alias("row")).withColumn("key", F.md5(F.col("row")[text_col].cast("binary"))).join(found, "key", "left")
+    none = F.array().cast("array<string>")
+    return keyed.select("row", F.struct(n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items")).alias("contamination"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", drop: bool = True, **kinds) -> DataFrame:
     """``docs`` without the rows that hold a window of an item, or (``drop=False``) with a column ``contamination``."""
-    judged = docs.withColumn("contamination", decontamination(docs, items, text_col, **kinds))
-    return judged.where("contamination.n_hit = 0").drop("contamination") if drop else judged
+    rows = judged(docs, items, text_col, **kinds)
+    if drop:
+        return rows.where("contamination.n_hit = 0").select("row.*")
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "contamination"], "contamination")

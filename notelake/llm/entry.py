@@ -78,7 +78,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
-    judged = docs.select("doc_id", decontaminate.decontamination(docs, items).alias("d"))
+    judged = decontaminate.judged(docs, items).select("row.doc_id", F.col("contamination").alias("d"))
     return judged.select("doc_id", "d.n_words", "d.n_hit", F.size("d.items").cast("long").alias("n_items"), F.sha2(F.array_join("d.items", ","), 256).alias("items_sha256"), (F.col("d.n_hit") > 0).alias("contaminated"))
 
 

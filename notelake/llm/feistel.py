@@ -14,7 +14,8 @@ row's place in the input, so equal rows spread over ranges like any others.
 
 Defined cases: a null id sorts first; null text has size 16 and CRC 0 (of no
 bytes); repeated rows each have a number of their own; an empty table gives an
-empty result; further columns are kept.
+empty result; further columns are kept, but for those named like the four that
+are added, which these replace.
 """
 
 from __future__ import annotations
@@ -68,21 +69,36 @@ def invert(y: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out
 
 
-def numbered(docs: DataFrame, by: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
-    """``docs`` with a global row number from 0 in the order of ``by``, and the number of rows."""
+def _row(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _numbered(docs: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
+    """``(row, number)``: whole rows with their numbers in the order of ``by``; and how many there are."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*by, "_place"]
-    ranged = docs.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    held = durable(ranged.drop("_place").withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    sizes = sorted((r["_range"], r["n"]) for r in held.groupBy("_range").agg(F.count("*").alias("n")).collect())  # one row per range
+    keys = [F.col("row")[c] for c in by]
+    placed = docs.select(_row(docs).alias("row"), F.monotonically_increasing_id().alias("place"))
+    ranged = placed.repartitionByRange(parts, *keys, "place").sortWithinPartitions(*keys, "place")
+    held = durable(ranged.select("row", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
+    sizes = sorted((r["range"], r["n"]) for r in held.groupBy("range").agg(F.count("*").alias("n")).collect())  # one row per range
     total, before = 0, []
     for k, n in sizes:
         before.append((k, total))
         total += n
-    offsets = spark.createDataFrame(before or [(0, 0)], "_range int, _before long")
-    out = held.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_at"))
-    return out.drop("_range", "_at", "_before"), total
+    offsets = spark.createDataFrame(before or [(0, 0)], "range int, before long")
+    return held.join(F.broadcast(offsets), "range").select("row", (F.col("before") + F.col("at")).alias("number")), total
+
+
+def _with(rows: DataFrame, columns: list[str], **more: Column) -> DataFrame:
+    """The fields of ``row`` and ``more``, which replace fields of the same names."""
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns if c not in more], *[c.alias(n) for n, c in more.items()])
+
+
+def numbered(docs: DataFrame, by: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
+    """``docs`` with a global row number from 0 in the order of ``by``, and the number of rows."""
+    rows, total = _numbered(docs, by)
+    return _with(rows, docs.columns, **{name: F.col("number")}), total
 
 
 def _permuted(n: int, seed: int):
@@ -98,7 +114,8 @@ def text_size(text: Column) -> Column:
 
 
 def shard(docs: DataFrame, by: list[str], n_shards: int = 40, seed: int = 42) -> DataFrame:
-    """``docs`` with ``position``, ``shard`` and ``slot``: a reproducible global shuffle."""
-    rows, n = numbered(docs, by)
-    placed = rows.withColumn("position", _permuted(n, seed)("row_number"))
-    return placed.withColumn("shard", F.pmod("position", F.lit(n_shards)).cast("int")).withColumn("slot", F.expr(f"position div {n_shards}"))
+    """``docs`` with ``row_number``, ``position``, ``shard`` and ``slot``: a reproducible global shuffle."""
+    rows, n = _numbered(docs, by)
+    placed = rows.withColumn("position", _permuted(n, seed)("number"))
+    at = F.col("position")
+    return _with(placed, docs.columns, row_number=F.col("number"), position=at, shard=F.pmod(at, F.lit(n_shards)).cast("int"), slot=F.expr(f"position div {n_shards}"))

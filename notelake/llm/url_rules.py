@@ -15,7 +15,8 @@ only while it is small and joins by shuffle (with adaptive skew splitting) above
 Defined cases: a null URL or one without ``://`` has an empty host and path and
 no rule; repeated URLs are judged once and each row gets the verdict; without a
 rule the method's verdict is ``allow``; an empty table or rule list gives the
-obvious result; further columns pass through, apart from the five of the result.
+obvious result; further columns pass through, apart from those named like the
+four of the result, which these replace.
 """
 
 from __future__ import annotations
@@ -54,7 +55,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> Data
     """
     shape = rules.agg(F.collect_set(F.size(F.split("host", r"\."))).alias("labels"), F.collect_set(F.length("path")).alias("lengths"), F.count("*").alias("n")).first()
     table = rules.select("host", "path", "action", _digest(F.col("host"), F.col("path")).alias("digest")).select("*", _short(F.col("digest")).alias("short"))
-    own = pages.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns])
+    own = pages.select(row.alias("row"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
     parts = own.select("host", "path").distinct().withColumn("labels", F.split("host", r"\."))
     sizes = F.array(*[F.lit(n) for n in sorted(shape.labels)]) if shape.labels else F.array().cast("array<int>")
     lengths = F.array(*[F.lit(n) for n in sorted(shape.lengths)]) if shape.lengths else F.array().cast("array<int>")
@@ -67,4 +69,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> Data
     order = F.struct(F.length("rh") + F.length("rp"), F.length("rh"), F.when(F.col("action") == "block", 1).otherwise(0))
     best = fits.groupBy("host", "path").agg(F.max(F.struct(order.alias("o"), F.concat("rh", "rp").alias("rule"), F.col("action").alias("action"))).alias("b"))
     chosen = best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.action").alias("action"))
-    return own.join(chosen, ["host", "path"], "left").withColumn("verdict", F.coalesce("action", F.lit("allow"))).drop("action")
+    judged = own.join(chosen, ["host", "path"], "left")
+    kept = [F.col("row")[c].alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return judged.select(*kept, "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict"))

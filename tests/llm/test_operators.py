@@ -265,16 +265,43 @@ def base_personal(text):
 def test_personal_data(spark):
     r = random.Random(8)
     parts = ["a", ".b", "@c", "_d", "-", "1", "22", ".", "4111 1111 1111 1111", "+1 (555) 222-3333", "192.168.0.1", "300.1.2.3", "\u00e9\U0001f600", " ", "\n", "call ", "x@y.z", "007.08.009.255"]
-    texts = [*[x for x in ODD if x[1] != LONG], (7, "x" * 40_000 + " 1" * 3_000 + " a@b" + ".c" * 3_000 + " " + "9" * 30_000), (9, "1.2.3.4 " * 2_000), *[(i + 50, "".join(r.choice(parts) for _ in range(r.randint(1, 25)))) for i in range(300)]]
+    texts = [*ODD, (9, "1.2.3.4 " * 2_000), *[(i + 50, "".join(r.choice(parts) for _ in range(r.randint(1, 25)))) for i in range(300)]]
     df = docs_of(spark, texts)
-    out = pii_boost.personal_data(df.drop("pii")).select("text", pii_boost.span_text().alias("base"), pii_boost.span_text(more=True).alias("spans"))
+    out = pii_boost.personal_data(df).select("text", pii_boost.span_text().alias("base"), pii_boost.span_text(more=True).alias("spans"))
     for x in out.collect():
         want = base_personal(x.text or "")
         assert x.base == ",".join(want), x.text[:200]
         assert set(want) - {""} <= set(x.spans.split(","))
     more = docs_of(spark, [(1, "please call 555-123-4567 today"), (2, "her SSN 123-45-6789 is"), (3, "nothing at 12 o'clock")])
     assert [x.s for x in pii_boost.personal_data(more.drop("pii")).select(pii_boost.span_text(more=True).alias("s")).collect()] == ["nphone:12:24", "ssn:8:19", ""]
-    assert pii_boost.personal_data(df.drop("pii").limit(0)).count() == 0
+    assert pii_boost.personal_data(df.limit(0)).count() == 0
+
+
+def test_features_agree_with_sql(spark):
+    own = pii_boost.findings(300, seed=77)
+    df = spark.createDataFrame([(i, *x[:4]) for i, x in enumerate(own)], "i int, kind string, t string, b string, a string")
+    for kind in pii_boost.PROPOSED:
+        cols = pii_boost._feature_columns(kind, F.col("t"), F.expr(f"right(b, {pii_boost.CONTEXT})"), F.substring("a", 1, pii_boost.AFTER))
+        for x in df.where(F.col("kind") == kind).select("i", F.array(*cols).alias("x")).collect():
+            assert x.x == pii_boost.features(*own[x.i][:4]), own[x.i]
+
+
+def test_ensemble_on_held_out_findings():
+    trees, threshold = pii_boost.fitted()
+    x, y = pii_boost.labelled(1_500, seed=99)
+    taken = [sum(pii_boost.RATE * pii_boost.run_tree(t, row) for t in trees) >= threshold for row in x]
+    right = sum(1 for a, b in zip(taken, y, strict=True) if a and b)
+    assert right / sum(taken) > 0.95
+    assert right / sum(y) > 0.85
+
+
+def test_overlapping_proposals_go_left_to_right(spark):
+    """A drops B, which it overlaps; C, which only B overlaps, stays."""
+    text = "call 555-234-5678 or (212) 555-0188; bank account no 5551234567, IBAN DE89370400440532013000."
+    got = pii_boost.personal_data(docs_of(spark, [(1, text)])).select(pii_boost.span_text(more=True).alias("s")).first().s.split(",")
+    spans = sorted(tuple(map(int, x.split(":")[1:])) for x in got)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert {x.split(":")[0] for x in got} == {"nphone", "number", "iban"} and len(got) == 4
 
 
 # --- joins -----------------------------------------------------------------
@@ -413,9 +440,10 @@ def brute_hits(texts, items):
     return out
 
 
-@pytest.mark.parametrize("part", [30, 8 << 20])
-def test_decontamination(spark, monkeypatch, part):
-    monkeypatch.setattr(decontaminate, "PART_BYTES", part)
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_decontamination(spark, monkeypatch, held):
+    """By a shuffled join, and with the items held by every worker."""
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", held)
     r = random.Random(10)
     words = ["a", "b", "c", "D", "\u00e9"]
     some = lambda n: " ".join(r.choice(words) for _ in range(n))
@@ -423,8 +451,10 @@ def test_decontamination(spark, monkeypatch, part):
     texts = [None, "", "--", "b", *[some(r.randint(1, 60)) for _ in range(60)], items[0][1] + "! " + items[4][1], *[items[7][1]] * 3]
     df = docs_of(spark, list(enumerate(texts)))
     bench = spark.createDataFrame([(*x, "clash") for x in items], "item_id long, text string, node string")
-    got = df.withColumn("d", decontaminate.decontamination(df, bench)).orderBy("doc_id").collect()
+    got = decontaminate.judged(df, bench).select("row.*", F.col("contamination").alias("d")).orderBy("doc_id").collect()
     want = brute_hits(texts, [("null" if i is None else i, t) for i, t in items])
     assert [(x.d.n_words, x.d.n_hit, x.d["items"]) for x in got] == want
     assert decontaminate.decontaminate(df, bench).count() == sum(1 for x in want if not x[1])
     assert decontaminate.decontaminate(df, bench.limit(0)).count() == len(texts)
+    assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
+    assert decontaminate.decontaminate(df, bench, drop=False).columns == [*df.columns, "contamination"]
