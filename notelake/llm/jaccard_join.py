@@ -336,6 +336,7 @@ def around_hubs(ties: DataFrame) -> DataFrame:
     of = ties.groupBy("u", "n").agg(F.min("v").alias("hub"))
     dealt = of.groupBy("hub").agg(F.ceil(F.sum("n") / GROUP).alias("groups"), F.count("*").alias("m"))
     dealt = dealt.join(of.select(F.col("u").alias("hub"), F.col("hub").alias("above")), "hub", "left").where("m > 1 or above <> hub").select("hub", "groups")
+    dealt = _few(durable(dealt))
     members = of.join(dealt, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("u"), F.col("groups"))).alias("task"), F.col("u").alias("node"))
     heads = dealt.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part")).select(F.xxhash64("hub", "part").alias("task"), F.col("hub").alias("node"))
     return members.unionByName(heads).distinct().withColumn("label", F.col("node"))
