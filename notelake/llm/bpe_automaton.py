@@ -9,19 +9,25 @@ base symbol.  A merge (u, v) -> w of rank i
 * lets every arc for u lead to s;
 * gives w's arc, wherever an arc for u leaves, the state that v led to.
 
-So every arc of one label leads to one state, and a state is its parent's row
-less one arc.  Rows are kept as these differences (parent, removed arc, rank) and
-never written out: 49,000 merges make 49,000 states with 49,000 arcs each.  A
-cell of the table is read by following the differences, and is then remembered.
+So all arcs of one label lead to one state, ``target``.  Rows of the transition
+table are kept as differences: the states that u's merges add, one after the
+other, each lack one arc more of the row that u's first state was copied from
+(``below``), namely those that went at the state's rank or before (``gone``).
+49,000 states with 49,000 arcs each would not fit a worker; a cell is read from
+the differences once and stays in the table (``cells``) from then on.
 
-A pre-split word is encoded by one run: from every position's state the arcs
-whose labels stand in the word there (a trie of the vocabulary finds them) lead
-on; the automaton being exact, one arc reaches each position.  Decoding emits
-the arcs' labels.
+A pre-split word is encoded by one run of transitions: from every position's
+state the arcs whose labels stand in the word there (a trie of the vocabulary
+finds them) lead on; the automaton being exact, one arc reaches each position.
+Decoding emits the arcs' labels.
+
+Code points that Python's tables do not know yet are letters, numbers or neither
+as in the library's own (``newer``); canonical compositions among them are not.
 
 Defined cases: null counts as empty text, which has no tokens; added tokens
 standing literally in a text are single tokens, as the library has them; very
-long words take linear time.
+long words take linear time; rows are encoded one by one, so ties, repeated rows,
+empty tables and further columns need no rule.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -41,8 +48,8 @@ from notelake.llm.common import held, small_batches
 REMEMBERED, WORDS, CELLS = 400_000, 150_000, 200_000
 RESULT = "struct<n_tokens: long, ids: array<int>>"
 DIGEST = "struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>"
-_FAR = 1 << 60
-_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\p{L}\p{N}]+"
+_SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_WORD = "(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{numbers}|[^" + _SPACE + "{letters}{numbers}]+"
 
 
 def byte_alphabet() -> list[str]:
@@ -58,86 +65,128 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+def newer() -> dict:
+    """Code points that the tables at hand and the library's judge differently, all of them unassigned in Python's.
+
+    For letters and for numbers those to add and those to drop; and letters' lower case.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    unknown = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    out: dict = {}
+    for name, kind in (("letters", r"[\p{L}]"), ("numbers", r"[\p{N}]")):
+        split = pre_tokenizers.Split(Regex(kind), "removed", invert=True)
+        theirs = [c for i in range(0, len(unknown), 4_096) for c, _ in split.pre_tokenize_str("".join(unknown[i : i + 4_096]))]
+        ours = regex.findall(kind, "".join(unknown))
+        out[name] = [_ranges(set(theirs) - set(ours)), _ranges(set(ours) - set(theirs))]
+    lower = normalizers.Lowercase()
+    out["lower"] = {c: x for c in unknown if (x := lower.normalize_str(c)) != c}
+    return out
+
+
+def _ranges(chars: set[str]) -> str:
+    """The inside of a character class, as ranges."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+def _kind(base: str, add: str, drop: str) -> str:
+    """A character class of ``base`` with and without some."""
+    return f"[{base}{add}]" if not drop else f"[[{base}{add}]--[{drop}]]"
+
+
+@lru_cache(maxsize=1)
+def _newer() -> dict:
+    return newer()
+
+
 class Automaton:
     """The compiled merges. ``start`` is the state before the first token."""
 
+    start = 0
+
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> None:
         self.labels = {i: t for t, i in vocabulary.items()}
         self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
         self.rank: dict[int, int] = {}
-        self.parent, self.removed, self.birth, self.owner = [0], [-1], [-1], [-1]
-        self.target: dict[int, int] = dict.fromkeys(vocabulary.values(), 0)
-        self.gadget: dict[tuple[int, int], int] = {}
+        # by state: the label that leads to it, the rank it was added at, the row its label's first state is a copy of
+        self.label, self.born, self.below = [-1], [-1], [0]
+        self.target: dict[int, int] = dict.fromkeys(vocabulary.values(), self.start)
+        self.gone: dict[tuple[int, int], int] = {}
         for i, (a, b) in enumerate(merges):
             u, v, w = vocabulary[a], vocabulary[b], vocabulary[a + b]
-            after_v = self.target[v]
-            self.gadget[u, v] = len(self.parent)
-            self.parent.append(self.target[u])
-            self.removed.append(v)
-            self.birth.append(i)
-            self.owner.append(u)
-            self.target[u] = self.gadget[u, v]
-            self.target[w] = after_v
-            self.left[w], self.right[w], self.rank[w] = u, v, i
-        self.start = 0
+            before, after = self.target[u], self.target[v]
+            self.gone[u, v] = i
+            self.target[u] = len(self.label)
+            self.below.append(self.below[before] if self.label[before] == u else before)
+            self.label.append(u)
+            self.born.append(i)
+            self.target[w] = after
+            self.left[w], self.rank[w] = u, i
         self.trie: dict = {}
         for t, i in vocabulary.items():
             at = self.trie
             for c in symbols(t):
                 at = at.setdefault(c, {})
             at[None] = i
-        self.cells: dict[int, bool] = {}
-
-    def arc(self, last: int, token: int) -> bool:
-        """Whether the state after ``last`` has an arc for ``token``.
+        self.cells: dict[int, int] = {}
 
-        The row's differences lie on the right spine of ``last``; an arc newer
-        than a difference was there if its left part was, so the left spine of
-        ``token`` is followed as the ranks fall.
-        """
-        key = last << 20 | token
+    def step(self, state: int, token: int) -> int:
+        """The state that the arc for ``token`` leads to, or -1."""
+        key = state << 20 | token
         known = self.cells.get(key)
         if known is None:
             if len(self.cells) > CELLS:
                 self.cells.clear()
-            known = self.cells[key] = self._read(last, token)
+            known = self.cells[key] = self.target[token] if self._has_arc(state, token) else -1
         return known
 
-    def _read(self, last: int, token: int) -> bool:
-        until = _FAR
-        while True:
-            t, before = token, _FAR
+    def _has_arc(self, state: int, token: int) -> bool:
+        """Read a cell from the differences.
+
+        A row lacks an arc if it went at the row's rank or before.  An arc of a
+        later merge was added where its left part then had one, so the left parts
+        of ``token`` are looked up too, for what had gone when it was added.
+        """
+        while state != self.start:
+            label, until, t = self.label[state], self.born[state], token
             while True:
-                s = self.gadget.get((last, t))
-                if s is not None and self.birth[s] < until and self.birth[s] <= before:
+                went = self.gone.get((label, t))
+                if went is not None and went <= until:
                     return False
                 if t not in self.left:
                     break
-                before, t = self.rank[t], self.left[t]
-            if last not in self.right:
-                return True
-            until, last = self.rank[last], self.right[last]
+                until, t = min(until, self.rank[t]), self.left[t]
+            state = self.below[state]
+        return True
 
     def encode(self, word: list[str]) -> list[int]:
         """Token ids of one word, given as base symbols."""
         n = len(word)
-        last: list[int | None] = [None] * (n + 1)
+        state: list[int] = [self.start] + [-1] * n
+        last = [0] * (n + 1)
         come = [0] * (n + 1)
-        arc, cells, trie = self.arc, self.cells, self.trie
+        step, cells, trie, none = self.step, self.cells, self.trie, -1
         for i in range(n):
-            before = last[i]
-            row = before << 20 if i else 0
-            at = trie
+            row, at = state[i], trie
+            if row == none:
+                continue
+            key = row << 20
             for j in range(i, n):
                 at = at.get(word[j])
                 if at is None:
                     break
-                if last[j + 1] is None and (token := at.get(None)) is not None:
-                    known = cells.get(row | token) if i else True
-                    if known or (known is None and arc(before, token)):
-                        last[j + 1] = token
-                        come[j + 1] = i
+                if state[j + 1] == none and (token := at.get(None)) is not None:
+                    to = cells.get(key | token)
+                    if to is None:
+                        to = step(row, token)
+                    if to != none:
+                        state[j + 1], last[j + 1], come[j + 1] = to, token, i
         out, j = [], n
         while j:
             out.append(last[j])
@@ -158,13 +207,15 @@ class Encoder:
 
     def __init__(self, spec: str) -> None:
         spec = json.loads(spec)
+        more = spec.get("newer") or newer()
         model = spec["model"]
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.automaton = Automaton(model["vocab"], merges)
         self.labels = self.automaton.labels | {i: t for t, i in self.added.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.word = regex.compile(_WORD)
+        self.word = regex.compile(_WORD.format(letters=_kind(r"\p{L}", *more["letters"]), numbers=_kind(r"\p{N}", *more["numbers"])))
+        self.lower = str.maketrans(more["lower"])
         self.bytes = byte_alphabet()
         self.words: dict[str, list[int]] = {}
         self.ids = _Memory(self)
@@ -178,7 +229,7 @@ class Encoder:
             if k % 2:
                 out.append(self.added[part])
                 continue
-            folded = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            folded = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower().translate(self.lower)
             for w in (folded,) if folded.isalpha() and folded.isascii() else self.word.findall(folded):
                 out.extend(self.encode_word(w))
         return out
@@ -228,7 +279,8 @@ def _texts(texts: pa.Array):
 
 def _spec(docs: DataFrame, path: str):
     with open(path, encoding="utf-8") as f:
-        return docs.sparkSession.sparkContext.broadcast(f.read())  # a tokenizer file: a few MB
+        spec = json.dumps(json.load(f) | {"newer": _newer()})
+    return docs.sparkSession.sparkContext.broadcast(spec)  # a tokenizer file: a few MB
 
 
 def bpe_digests(docs: DataFrame, path: str, text_col: str = "text") -> Column:

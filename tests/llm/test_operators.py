@@ -129,6 +129,21 @@ def test_separators_between_words_are_rejected(spark):
 
 
 # --- URLs ------------------------------------------------------------------
+def test_columns_with_clashing_names(spark):
+    """Ops 4, 7 and 8 keep columns of any names, but for those of their results."""
+    pages = spark.createDataFrame([(1, "http://b.org/es/", "r", "a", "v", "d.t", 1)], "page_id long, url string, rule string, action string, digest string, `a.b` string, full long")
+    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, action string")
+    got = url_rules.judge_urls(pages, rules)
+    assert got.columns == ["page_id", "url", "action", "digest", "a.b", "full", "host", "path", "rule", "verdict"]
+    assert tuple(got.first()) == (1, "http://b.org/es/", "a", "v", "d.t", 1, "b.org", "/es/", "org/es/", "block")
+    docs = spark.createDataFrame([(1, "x", 5, 6, 7, 8, 9), (None, None, 5, 6, 7, 8, 9)], "doc_id long, text string, _before long, _at long, _place long, row_number long, row long")
+    got = feistel.shard(docs, ["doc_id"], 2)
+    assert got.columns == ["doc_id", "text", "_before", "_at", "_place", "row", "row_number", "position", "shard", "slot"]
+    assert sorted((x.row_number, x.doc_id, x["_before"], x["_at"], x["_place"], x.row) for x in got.collect()) == [(0, None, 5, 6, 7, 9), (1, 1, 5, 6, 7, 9)]
+    docs = spark.createDataFrame([(1, "a@b.c", "x", "y", "z")], "doc_id long, text string, _p_text string, pii string, _row string")
+    assert pii_boost.personal_data(docs).columns == ["doc_id", "text", "_p_text", "_row", "pii"]
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://", "https://A.Example.COM/en/7x?q#f", "http://example.com/en/6", "https://net/de/", "https://xnet/de/", "http://a.example.net/de/81", "http://example.net/de/9", "ftp://b.org/es", "ftp://b.org/es/#", "http://b.org?x=/es/", "x://" + "a." * 20000 + "com/en/" + "y" * 50000, "http://b.org/es/"]
     rows = [(i, u, "clash") for i, u in enumerate([*urls, urls[4]])]
@@ -164,6 +179,7 @@ def test_bpe_equals_the_library(spark):
         assert x.ids == want
         decoded = lib.decode(want, skip_special_tokens=False)
         assert tuple(x.d) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    assert df.limit(0).select(bpe_automaton.bpe_digests(df, entry.WORD_BPE)).count() == 0
 
 
 def test_automaton_is_deterministic():
@@ -173,7 +189,22 @@ def test_automaton_is_deterministic():
         word = [*[r.choice("abeinrst") for _ in range(r.randint(1, 12))]]
         own = e.automaton.encode([*word[:-1], word[-1] + "</w>"])
         assert "".join(e.labels[i] for i in own) == "".join(word) + "</w>"
-        assert all(e.automaton.arc(a, b) for a, b in zip(own, own[1:], strict=False))
+        state = e.automaton.start
+        for token in own:
+            state = e.automaton.step(state, token)
+            assert state == e.automaton.target[token]
+
+
+def test_newer_letters_equal_the_library():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(entry.WORD_BPE)
+    lib.no_padding()
+    lib.no_truncation()
+    e = bpe_automaton.encoder(open(entry.WORD_BPE, encoding="utf-8").read())
+    for c in (0x558, 0x58B, 0x1C89, 0x208F, 0xA7CB, 0xA7DC, 0x10940, 0x10D50, 0x16EA0, 0x18D80, 0x1E6C0, 0x323B0, 0xE0FFF):
+        text = f"a{chr(c)}b {chr(c)} 1{chr(c)}"
+        assert e.encode(text) == lib.encode(text, add_special_tokens=False).ids
 
 
 # --- secrets ---------------------------------------------------------------
@@ -195,6 +226,8 @@ def test_secret_spans(spark):
         want = base_secrets(x.text or "")
         assert x.s.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert set(want) <= set(x.s.spans.split(",")) | {""}
+    assert df.limit(0).select(secret_cnn.secret_spans(df)).count() == 0
+    assert secret_cnn.redact_secrets(df.limit(0)).columns == df.columns
     red = secret_cnn.redact_secrets(docs_of(spark, [(1, 'a token = "11acdfb36bb72224148e6160f674b4be45601bff" b'), (2, None), (3, "plain")])).collect()
     assert [x.text for x in red] == ['a [secret]" b', None, "plain"]
 
