@@ -163,6 +163,56 @@ def depluralize(w: Column) -> Column:
     )
 
 
+def singular(w: str) -> str:
+    """AN9 for plain text."""
+    if len(w) <= 3:
+        return w
+    if w in IRREGULAR or w in S_FINAL:
+        return IRREGULAR.get(w, w)
+    if w.endswith("ies") and len(w) > 4:
+        return w[:-1] if w[:-1] in IE_NOUNS else w[:-3] + "y"
+    if w.endswith("sses") or (len(w) > 4 and w.endswith(("ches", "shes", "xes", "zes", "ses"))):
+        return w[:-2]
+    return w[:-1] if w.endswith("s") and not w.endswith(("ss", "us", "is", "os")) else w
+
+
+def derived_forms(text: Column) -> Column:
+    """AN2-AN3 inside the JVM: what stands on both sides of one glue mark, joined, and the parts of words at case changes."""
+    word = r"[^\n\r\p{Z}\p{P}\p{Sm}]+"
+    bare = strip_possessive(text)
+    glued = F.transform(F.regexp_extract_all(bare, F.lit(rf"{word}(?:[-/.'’]{word})+"), F.lit(0)), lambda x: F.regexp_replace(x, "[-/.'’]", ""))
+    return F.concat(glued, F.flatten(F.transform(tokens(bare), camel_parts)))
+
+
+def name_terms(text: Column, derived: bool = False) -> Column:
+    """The distinct terms of a name, stopwords kept; with its derived forms, if asked."""
+    own = tokens(strip_possessive(text))
+    own = F.concat(own, derived_forms(text)) if derived else own
+    return F.array_distinct(F.transform(own, lambda x: depluralize(fold(F.lower(x)))))
+
+
+# Characters that cannot stand in a tag are white space, ASCII punctuation but - and _, and two blocks of punctuation.
+NOT_IN_TAGS = frozenset("!\"#$%&'()*+,./:;<=>?@[\\]^`{|}~")
+PUNCTUATION_BLOCKS = (("\u2000", "\u206f"), ("\u2e00", "\u2e7f"))
+
+
+def in_tag(c: str) -> bool:
+    return not (c.isspace() or c in NOT_IN_TAGS or any(a <= c <= b for a, b in PUNCTUATION_BLOCKS))
+
+
+def tag_end(text: str, at: int) -> int:
+    """Where the tag (runs of letters with single slashes between) that begins at ``at`` ends; ``at`` if there is none."""
+    end = at
+    while end < len(text) and (in_tag(text[end]) or (text[end] == "/" and end > at and text[end - 1] != "/" and end + 1 < len(text) and in_tag(text[end + 1]))):
+        end += 1
+    return end
+
+
+def is_tag(tag: str) -> bool:
+    """A whole tag that has a character other than digits and slashes."""
+    return 0 < tag_end(tag, 0) == len(tag) and any(c not in "0123456789/" for c in tag)
+
+
 def terms(text: Column, keep_stopwords: bool = False) -> Column:
     """AN1, AN7-AN10: tokens, folded and lower-cased, without stopwords, plurals folded."""
     low = F.transform(tokens(strip_possessive(text)), lambda x: fold(F.lower(x)))
@@ -185,7 +235,8 @@ def note_name(title: Column) -> Column:
     return F.element_at(F.split(title, r" > | \| "), 1)
 
 
-_DATE_ONLY = r"(?i)^\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+# Whole values that are dates or numbers.
+DATE_ONLY = r"(?i)^\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
 # Keys whose values are not searched.
 MACHINERY = "icon coordinates cssclasses cssclass protected version completed completeddate position banner banner_y".split()
 EXCLUDED_KEYS = ["tags", "aliases", "alias", "created", "modified", "datelink", *MACHINERY]
@@ -206,7 +257,7 @@ def properties_text(properties: Column) -> Column:
     """AN14: searchable property values in display form."""
     kept = F.map_filter(properties, lambda k, _: ~F.lower(k).isin(EXCLUDED_KEYS))
     values = F.transform(F.flatten(F.map_values(kept)), lambda v: display_form(F.regexp_replace(v, "^[\"']|[\"']$", "")))
-    return F.array_join(F.filter(values, lambda v: (v != "") & ~F.regexp_like(v, F.lit(_DATE_ONLY)) & ~F.regexp_like(v, F.lit(r"^-?[\d., ]+$"))), " ")
+    return F.array_join(F.filter(values, lambda v: (v != "") & ~F.regexp_like(v, F.lit(DATE_ONLY)) & ~F.regexp_like(v, F.lit(r"^-?[\d., ]+$"))), " ")
 
 
 def glob_regex(pattern: str) -> str:

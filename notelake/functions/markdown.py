@@ -8,7 +8,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from notelake.functions.analyzer import MACHINERY, tokenize
+from notelake.functions.analyzer import DATE_ONLY, MACHINERY, is_tag, singular, tag_end, tokenize
 
 MIN_SECTION = 50
 BUDGET, OVERLAP = 512, 0.15
@@ -111,16 +111,23 @@ def aliases(props: dict[str, list[str]]) -> list[str]:
     return list({a.lower(): a for a in reversed(own) if a}.values())[::-1]
 
 
-_TAG = r"[^\s!-,./:-@\[-\^`{-~]+(?:/[^\s!-,./:-@\[-\^`{-~]+)*"
-
-
 def inline_tags(body: str) -> list[str]:
     """CH11: free-standing tags outside fences, comments and code spans; not numbers."""
     text = "\n".join(a.text for a in atoms(body) if a.kind != "fence")
-    for p in (r"%%[\s\S]*?%%", r"%%[\s\S]*$", r"`[^`\n]*`"):
-        text = re.sub(p, ".", text)
-    found = re.findall(rf"(?:^|(?<=\s))#({_TAG})", text, re.M)
-    return _first([t for t in found if not t.isdigit()])
+    found, at, before = [], 0, "\n"
+    while at < len(text):
+        if text.startswith("%%", at):
+            close = text.find("%%", at + 2)
+            at, before = (len(text) if close < 0 else close + 2), "."
+        elif text[at] == "`" and (close := text.find("`", at + 1)) > 0 and "\n" not in text[at:close]:
+            at, before = close + 1, "."
+        elif text[at] == "#" and before.isspace() and (end := tag_end(text, at + 1)) > at + 1:
+            found.append(text[at + 1 : end])
+            at, before = end, text[end - 1]
+        else:
+            before = text[at]
+            at += 1
+    return _first([t for t in found if is_tag(t)])
 
 
 def _first(values: list[str]) -> list[str]:
@@ -164,54 +171,77 @@ def url_words(url: str) -> str:
     return re.sub(r"[^\w]+|_", " ", f"{re.sub(r'(?i)[.][a-z]{2,24}$', '', host)} {path}").strip()
 
 
+#: Markup that shows less than it holds: embeds and wikilinks, images and links, addresses, HTML tags. Innermost ones first.
+_MARKUP = re.compile(r"(?P<embed>!?)\[\[(?P<inner>[^\[\]]+)\]\]|!?\[(?P<label>[^\[\]]*)\]\((?P<address>[^()]*)\)|<(?P<auto>https?://[^\s<>]+)>|(?P<html></?[a-z][^>]*>)|(?P<url>\bhttps?://[^\s)<>\]]+)", re.I)
+
+
+def _read(md: str) -> tuple[str, list[str]]:
+    """What a reader sees of the markup, and what is dropped of it: a scan, repeated while markup stood within markup."""
+    dropped: list[str] = []
+
+    def show(m: re.Match) -> str:
+        if m["inner"]:
+            shown, target = _shown(m["inner"], bool(m["embed"])), m["inner"].split("|")[0].strip()
+            if target != shown:
+                dropped.append(target)
+            return shown
+        if m["label"] is not None:
+            dropped.append(m["address"].strip())
+            return m["label"].strip()
+        if m["html"]:
+            return " "
+        dropped.append(m["auto"] or m["url"])
+        return " " if m["auto"] else url_words(m["url"])
+
+    while (shown := _MARKUP.sub(show, md)) != md:
+        md = shown
+    return md, [d for d in dropped if d]
+
+
+def _is_rule(line: str) -> bool:
+    marks = re.sub(r"[ \t]", "", line)
+    return len(marks) > 2 and marks[0] in "-*_" and marks == marks[0] * len(marks)
+
+
 def clean(md: str) -> str:
-    """CH15: what a reader sees; the order of the steps matters."""
-    md = re.sub(r"!\[\[([^\]]+?)\]\]", lambda m: _shown(m[1], True), md)
-    md = re.sub(r"!\[([^\]]*?)\]\([^)]*?\)", lambda m: m[1].strip(), md)
-    md = re.sub(r"\[\[([^\]]+?)\]\]", lambda m: _shown(m[1]), md)
-    md = re.sub(r"\[([^\]]*?)\]\([^)]*?\)", lambda m: m[1].strip(), md)
-    md = re.sub(r"(?i)</?[a-z][^>]*>", " ", md)
-    md = re.sub(r"(?i)\bhttps?://[^\s)<>\]]+", lambda m: url_words(m[0]), md)
-    md = re.sub(r"(?m)^[ \t]*([-*_])(?:[ \t]*\1){2,}[ \t]*$", "", md)
-    md = re.sub(r"[^\S\n]+", " ", md)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", md)).strip()
+    """CH15: what a reader sees, without rules, with single spaces and one blank line at most."""
+    lines = ["" if _is_rule(x) else re.sub(r"[^\S\n]+", " ", x).strip() for x in _read(md)[0].split("\n")]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
 def clean_body(md: str) -> str:
-    """CH16: fences stay as they are."""
-    return "\n\n".join(a.text if a.kind == "fence" else clean(a.text) for a in atoms(md)).strip()
+    """CH16: fences stay as they are; what cleans to nothing goes."""
+    return "\n\n".join(t for a in atoms(md) if (t := a.text if a.kind == "fence" else clean(a.text))).strip()
 
 
 def link_terms(md: str) -> str:
     """CH18: link targets and addresses that cleaning drops, for the lexical side only."""
-    out = []
-    for a in atoms(md):
-        if a.kind != "fence":
-            out += [m[1].split("|")[0] for m in re.finditer(r"\[\[([^\]]+?)\]\]", a.text) if "|" in m[1] or "/" in m[1] or "#" in m[1]]
-            out += [m[1] for m in re.finditer(r"\]\(([^)]+?)\)", a.text)]
-            out += [m[0] for m in re.finditer(r"(?<!\()https?://[^\s)<>\]]+", a.text)]
-    return " ".join(out)
+    return " ".join(d for a in atoms(md) if a.kind != "fence" for d in _read(a.text)[1])
+
+
+# Words that say yes or no.
+_SWITCHES = ("true", "false", "yes", "no", "on", "off")
+
+
+def _says_nothing(value: str) -> bool:
+    """A date, number, list of numbers, switch, address or file: no words to search for."""
+    number = r"[+-]?\d+(?:\.\d+)?"
+    parts = [p for p in re.split(r"[,\s]+", value) if p]
+    return bool(value.lower() in _SWITCHES or re.match(DATE_ONLY, value) or re.search(r"(?i)https?://", value) or _ASSET.search(value) or all(re.fullmatch(number, p) for p in parts))
 
 
 def dense_suffix(title: str, props: dict[str, list[str]], cap: int = 48) -> str:
     """CH14: frontmatter values that add words the chunk's title does not have."""
-    seen, out, used = {w.lower() for w in tokenize(title)}, [], 0
+    words_of = lambda t: [singular(w.lower()) for w in tokenize(t, derived=False)]
+    seen, out = set(words_of(title)), []
     for key, values in props.items():
-        if key.lower() in MACHINERY:
-            continue
-        for v in values:
-            shown = re.sub(r"\s+", " ", re.sub(r"\[\[([^\]]+)\]\]", lambda m: re.split(r"[#^]", m[1].split("|")[0])[0].split("/")[-1].strip(), v)).strip()
-            if not shown or re.match(r"^\d{4}-\d{2}-\d{2}", shown) or re.fullmatch(r"-?[\d., ]+|true|false", shown, re.I) or re.match(r"(?i)https?://", shown) or _ASSET.search(shown):
-                continue
-            words = [w.lower() for w in tokenize(shown)]
-            if not words or all(w in seen for w in words):
-                continue
-            if used + len(words) > cap:
-                return " ".join(out)
-            seen.update(words)
-            used += len(words)
-            out.append(shown)
-    return " ".join(out)
+        for v in values if key.lower() not in MACHINERY else ():
+            shown = re.sub(r"\s+", " ", re.sub(r"\[\[([^\]]+)\]\]", lambda m: _shown(m[1].split("|")[0]), v)).strip()
+            words = words_of(shown)
+            if shown and not _says_nothing(shown) and not (words and seen.issuperset(words)):
+                seen.update(words)
+                out += shown.split(" ")
+    return " ".join(out[:cap])
 
 
 @dataclass
@@ -287,32 +317,59 @@ def chunk_note(raw: str, path: str) -> tuple[list[Chunk], dict]:
     return out, {"tags": tags(props, body), "aliases": names, "created": created(props), "properties": own}
 
 
-def base_docs(views: list[tuple[str | None, str]], path: str) -> list[Chunk]:
-    """CH8: a view file's documents."""
-    base = re.sub(r"\.base$", "", path.split("/")[-1])
-    return [Chunk(f"{base} > {v}" if v else base, text) for v, text in views]
+# Names that views have when nobody names them.
+GENERIC_VIEWS = "table view list untitled cards board grid".split()
 
 
-def base_views(raw: str) -> list[tuple[str | None, str]]:
-    """IO5: the file's own filter words, then those of each named view; a small YAML subset, read by indent."""
-    whole, views, name, own = [], [], None, None
+def _literals(scalar: str) -> list[str]:
+    """Quoted words of a filter expression, which may itself be quoted; not numbers, nor code."""
+    bare = scalar.strip()
+    if len(bare) > 1 and bare[0] == bare[-1] == "'":
+        bare = bare[1:-1].replace("''", "'")
+    elif len(bare) > 1 and bare[0] == bare[-1] == '"':
+        bare = bare[1:-1].replace('\\"', '"') if '\\"' in bare else ""
+    found = [x.strip() for x in re.findall(r'"([^"]+)"', bare)]
+    return [x for x in found if len(x) > 1 and not x.isdigit() and all(c.isalnum() or c in " '&/-" for c in x)]
+
+
+def _view_words(raw: str) -> tuple[list[str], list[str], list[tuple[str, list[str]]]]:
+    """Filter words of the file, of its views without a name of their own, and of each named view; a small YAML subset."""
+    whole: list[str] = []
+    views: list[tuple[str, list[str]]] = []
+    part, within = "", None
     for line in normalise(raw).split("\n"):
-        top = line[:1] not in " -\t" and line.strip()
-        m = re.match(r"^\s*-?\s*name:\s*(.+)$", line)
-        if top and line.startswith("views:"):
-            own = []
-        if own is not None and re.match(r"^\s*- type:", line):
-            if name:
-                views.append((name, " ".join(own)))
-            name, own = None, []
-        if m and own is not None:
-            name = _unquote(m[1])
-        words = re.findall(r"[\"']([^\"']+)[\"']", line)
-        (whole if own is None else own).extend(words)
-    if name:
-        views.append((name, " ".join(own or [])))
-    generic = re.compile(r"(?i)^(table|cards|list|view)( \d+)?$")
-    return [(None, " ".join(whole)), *[v for v in views if not generic.match(v[0])]]
+        body = line.strip()
+        if line[:1] not in ("", " ", "-", "\t"):
+            part, within = body.split(":")[0], None
+        elif part == "views" and re.match(r"- *(type|name):", body):
+            views.append(("", []))
+            within = None
+        if part == "views" and views and (m := re.match(r"(?:- *)?name:\s*(.*)$", body)):
+            views[-1] = (_unquote(m[1]), views[-1][1])
+        key = re.match(r"(?:- *)?(\w+):\s*(.*)$", body)
+        if key and key[1] in ("filters", "and", "or", "not"):
+            within, body = True, key[2]
+        elif key and not body.startswith("- "):
+            within = None
+        if within and (part == "filters" or (part == "views" and views)):
+            (whole if part == "filters" else views[-1][1]).extend(_literals(body.removeprefix("- ")))
+    named = [(n, w) for n, w in views if n and n.lower() not in GENERIC_VIEWS]
+    loose = [x for n, w in views if not n or n.lower() in GENERIC_VIEWS for x in w]
+    return whole, loose, named
+
+
+def base_views(raw: str) -> list[tuple[str | None, str]]:
+    """IO5: the words of the file with its unnamed views, then those of each named view."""
+    whole, loose, named = _view_words(raw)
+    return [(None, " ".join(dict.fromkeys([*whole, *loose]))), *[(n, " ".join(dict.fromkeys(w))) for n, w in named]]
+
+
+def base_docs(raw: str, path: str) -> list[Chunk]:
+    """CH8: a view file's documents: its name and words, and one for each named view, with the file's own words."""
+    base = re.sub(r"\.base$", "", path.split("/")[-1])
+    whole, loose, named = _view_words(raw)
+    text = lambda *words: " ".join(dict.fromkeys(words))
+    return [Chunk(base, text(base, *whole, *loose)), *[Chunk(f"{base} > {n}", text(base, *whole, *w, n)) for n, w in named]]
 
 
 def embed_input(c: Chunk) -> str:
@@ -360,17 +417,24 @@ def within_budget(c: Chunk, count: Callable[[str], int], budget: int = BUDGET) -
         return [c]
     room = max(budget // 4, budget - count_tokens(c.title + c.dense_suffix, count))
     parts: list[list[Atom]] = [[]]
+    used = 0
     for a in [p for own in atoms(c.content) for p in split_atom(own, room, count)]:
-        if parts[-1] and count("\n\n".join([*[x.text for x in parts[-1]], a.text])) > room:
+        n = count_tokens(a.text, count)
+        if parts[-1] and used + n > room:
             seed: list[Atom] = []
+            size = 0
             for x in reversed(parts[-1]):
-                if x.kind != "paragraph" or count("\n\n".join([x.text, *[s.text for s in seed]])) > OVERLAP * budget:
+                m = count_tokens(x.text, count)
+                if x.kind != "paragraph" or size + m > OVERLAP * budget:
                     break
                 seed.insert(0, x)
-            if len(seed) == len(parts[-1]) or count("\n\n".join([*[s.text for s in seed], a.text])) > room:
-                seed = []
+                size += m
+            if len(seed) == len(parts[-1]) or size + n > room:
+                seed, size = [], 0
             parts.append(seed)
+            used = size
         parts[-1].append(a)
+        used += n
     return [Chunk(c.title, "\n\n".join(a.text for a in p), c.heading_path, c.start_line, c.end_line, c.lexical_only, c.dense_suffix, c.link_terms, i + 1) for i, p in enumerate(parts) if p]
 
 

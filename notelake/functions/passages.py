@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 import re
 
+import regex
 from notelake.functions.analyzer import STOPWORDS, tokenize
 
-_END = re.compile(r"[.!?…]+[\"')\]»”’]*(?=\s+[\"'(\[«“‘]?[A-ZÀ-Þ0-9])")
+# What may close a sentence behind its last mark, and open the next one beside capitals and numbers.
+CLOSERS, OPENERS = "\"'”’)]}»", "\"'“‘([{«"
+_END = regex.compile(rf"[.!?…][.!?…{regex.escape(CLOSERS)}]*+(?=\s*\Z|\s+[\p{{Lu}}\p{{N}}{regex.escape(OPENERS)}])")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """PR1: trimmed spans; a sentence ends at a line end, or at closing marks before a capital or digit."""
+    """PR1: trimmed spans; a sentence ends at a line end, or at closing marks before a capital, number or opening mark of any script."""
     out, at = [], 0
     for line in text.split("\n"):
         start = 0

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_CARDINALITY, MAX_VALUE = 40, 40
-TAG = r"^[^\s!-,./:-@\[-\^`{-~]+(/[^\s!-,./:-@\[-\^`{-~]+)*$"
+_IN_TAG = r"[\s\p{Punct}\x{2000}-\x{206F}\x{2E00}-\x{2E7F}&&[^_-]]"
+TAG = f"^(?:(?!{_IN_TAG}).)+(?:/(?:(?!{_IN_TAG}).)+)*$"
 
 
 def tag_counts(notes: DataFrame) -> DataFrame:
     """SG1: notes per valid tag; tags that stand on excluded notes only do not show."""
     t = notes.where(~F.coalesce("excluded", F.lit(False)) if "excluded" in notes.columns else F.lit(True))
-    return t.select("note_path", F.explode("tags").alias("tag")).where(F.regexp_like("tag", F.lit(TAG)) & ~F.regexp_like("tag", F.lit(r"^\d+$"))).groupBy("tag").agg(F.countDistinct("note_path").alias("n"))
+    return t.select("note_path", F.explode("tags").alias("tag")).where(F.regexp_like("tag", F.lit(TAG)) & F.regexp_like("tag", F.lit("[^0-9/]"))).groupBy("tag").agg(F.countDistinct("note_path").alias("n"))
 
 
 def folder(path: Column) -> Column:

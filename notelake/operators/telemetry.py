@@ -62,37 +62,38 @@ def gaps(rows: DataFrame, by: str) -> DataFrame:
 
 
 def find_period(starts: list[float], durations: list[float]) -> dict | None:
-    """LG8: the longest run of nearly equal gaps between heavy stalls."""
-    if not durations:
-        return None
-    floor = max(1000.0, max(durations) / 2)
-    heavy = sorted(s for s, d in zip(starts, durations, strict=True) if d >= floor)
-    steps = [b - a for a, b in zip(heavy, heavy[1:], strict=False)]
-    best: list[float] = []
+    """LG8: the longest run of four or more heavy stalls whose gaps all lie close to the run's mean gap."""
+    floor = max([1000.0, *(d / 2 for d in durations)])
+    heavy = sorted((s, d) for s, d in zip(starts, durations, strict=True) if d >= floor)
+    steps = [b[0] - a[0] for a, b in zip(heavy, heavy[1:], strict=False)]
+    best = None
     for i in range(len(steps)):
-        run = [steps[i]]
-        for g in steps[i + 1 :]:
-            mean = sum(run) / len(run)
-            if abs(g - mean) > max(250.0, 0.02 * mean):
+        total, low, high = 0.0, steps[i], steps[i]
+        for j in range(i, len(steps)):
+            total, low, high = total + steps[j], min(low, steps[j]), max(high, steps[j])
+            mean = total / (j - i + 1)
+            jitter = max(high - mean, mean - low)
+            if jitter > max(250.0, 0.02 * mean):
                 break
-            run.append(g)
-        if len(run) > len(best):
-            best = run
-    if len(best) < 3:
+            if best is None or j - i + 1 > best[1]:
+                best = (i, j - i + 1, mean, jitter)
+    if best is None or best[1] < 3:
         return None
-    mean = sum(best) / len(best)
-    return {"n": len(best) + 1, "period_ms": mean, "jitter_ms": max(abs(g - mean) for g in best), "median_ms": sorted(best)[len(best) // 2]}
+    first, n, mean, jitter = best
+    return {"n": n + 1, "period_ms": mean, "jitter_ms": jitter, "median_ms": sorted(d for _, d in heavy[first : first + n + 1])[(n + 1) // 2]}
 
 
 def periodic_stalls(rows: DataFrame, by: str) -> DataFrame:
-    """LG8 for each device's session; a session's long tasks are few."""
+    """LG8 for each device's session; only its heavy stalls, which are few, come together."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = find_period(pdf["start_ms"].tolist(), pdf["duration_ms"].tolist())
         return pd.DataFrame([{by: pdf[by].iloc[0], **found}] if found else [], columns=[by, "n", "period_ms", "jitter_ms", "median_ms"])
 
     kind = rows.schema[by].dataType.simpleString()
-    return rows.groupBy(by).applyInPandas(run, f"{by} {kind}, n long, period_ms double, jitter_ms double, median_ms double")
+    worst = rows.groupBy(by).agg(F.max("duration_ms").alias("worst"))
+    heavy = rows.join(worst, by).where(F.col("duration_ms") >= F.greatest(F.lit(1000.0), F.col("worst") / 2)).drop("worst")
+    return heavy.groupBy(by).applyInPandas(run, f"{by} {kind}, n long, period_ms double, jitter_ms double, median_ms double")
 
 
 def attribute(tasks: DataFrame, spans: DataFrame, bucket: int = 60_000) -> DataFrame:

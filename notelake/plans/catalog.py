@@ -434,7 +434,7 @@ def recent_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def title_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", F.round(S.title_boost(F.lit("the green forest"), F.col("p_name"), F.array("p_brand"), 0.5), 6).alias("boost"), F.round(S.title_cover(F.substring_index("p_name", " ", 1), F.col("p_name")), 6).alias("own"))
+    return p.select("p_partkey", F.round(S.title_boost(F.lit("the green forests"), F.col("p_name"), F.array("p_brand"), 0.5), 6).alias("boost"), F.round(S.title_cover(F.substring_index("p_name", " ", 1), F.col("p_name")), 6).alias("own"))
 
 
 @query
@@ -541,7 +541,9 @@ def stall_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def periodic_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).select((F.col("user_id") % 5).alias("device"), (F.unix_micros("ts") / 1000.0).alias("start_ms"), (F.col("value") * 100).alias("duration_ms"))
+    """Parts as the stalls of seven devices, a minute for each key."""
+    p = table(spark, sf_dir, "part")
+    e = p.select((F.col("p_partkey") % 7).alias("device"), (F.col("p_partkey") * 60_000.0 + F.col("p_size")).alias("start_ms"), F.col("p_retailprice").cast("double").alias("duration_ms"))
     return T.periodic_stalls(e, "device")
 
 
@@ -751,15 +753,15 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
+    d = N.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            yield pd.DataFrame({"item_id": pdf["item_id"], "n_sentences": [len(P.sentences(t)) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_sentences": [len(P.sentences(t or "")) for t in pdf["text"]]})
 
-    return b.select("item_id", "text").mapInPandas(run, "item_id long, n_sentences long")
+    return d.mapInPandas(run, "doc_id long, n_sentences long")
 
 
 @query

@@ -166,7 +166,7 @@ SELECT query_id, chunk_id, round(p, 6) AS confidence, round(CASE WHEN chunk_id %
     "filter_number": "SELECT doc_id AS chunk_id FROM documents WHERE n_chars BETWEEN 1000 AND 3000",
     "filter_mismatch": "SELECT doc_id AS chunk_id FROM documents WHERE false",
     "filter_date": f"WITH {_CHUNKS} SELECT chunk_id FROM chunks WHERE modified >= TIMESTAMP '2024-01-05' AND modified < TIMESTAMP '2024-01-21'",
-    "negate_note": f"WITH {_CHUNKS} SELECT chunk_id FROM chunks WHERE note_path NOT IN (SELECT note_path FROM (SELECT note_path, lower(unnest({_tokens('content')})) AS t FROM chunks) x WHERE t IN ('reat', 'heat'))",
+    "negate_note": f"WITH {_CHUNKS} SELECT chunk_id FROM chunks WHERE note_path NOT IN (SELECT note_path FROM (SELECT note_path, unnest({_terms('content')}) AS t FROM chunks) x WHERE t IN ('reat', 'heat'))",
     "caps_by_size": "SELECT arm, CAST(CASE arm WHEN 'recency' THEN 50 ELSE greatest(f, least(c, round(f * sqrt((SELECT count(*) FROM documents) / 5000e0)))) END AS BIGINT) AS cap FROM (VALUES ('dense', 200, 800), ('lexical', 100, 400), ('recency', 50, 50)) t(arm, f, c)",
     "candidate_union": f"""WITH {_SCORES}, {_VECTORS}, {_scan(_SIGNED, 30)},
 lex AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS k FROM hits) x WHERE k <= 30),
@@ -184,7 +184,7 @@ FROM o FULL JOIN n ON o.l_orderkey = n.l_orderkey AND o.id = n.id GROUP BY 1""",
     "recent_queries": """WITH l AS (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY 1, 2),
 s AS (SELECT l.user_id AS user_id, l.ts AS ts, max(CASE WHEN event_id % 2 = 0 THEN upper(l.event_type) ELSE l.event_type END) AS query FROM l JOIN events e ON e.user_id = l.user_id AND e.event_type = l.event_type AND e.ts = l.ts GROUP BY l.user_id, l.event_type, l.ts)
 SELECT user_id, query, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, query) AS rank FROM s QUALIFY rank <= 3""",
-    "title_boosts": """WITH t AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS w, string_split(p_name, ' ')[1] AS f FROM part)
+    "title_boosts": f"""WITH t AS (SELECT p_partkey, list_distinct({_terms('p_name', True)}) AS w, list_distinct({_terms("string_split(p_name, ' ')[1]", True)}) AS f FROM part)
 SELECT p_partkey, round(CASE WHEN list_contains(w, 'green') AND list_contains(w, 'forest') THEN 0.5e0 * 2 / len(w) ELSE 0e0 END, 6) AS boost, round(1e0 / len(w), 6) AS own FROM t""",
     "recency_scores": "SELECT o_orderkey, round(CASE WHEN o_orderkey % 11 = 0 THEN 0e0 ELSE pow(0.5e0, greatest((epoch(TIMESTAMP '1998-01-01') - epoch(CAST(o_orderdate AS TIMESTAMP))) / 86400e0, 0e0) / 180e0) END, 6) AS recency FROM orders",
     "lexical_floor": f"""WITH {_VECTORS}, {_scan(_DOT.format(a='qv', b='vec'), 40)}
@@ -236,6 +236,8 @@ SELECT device, count(*) AS n, min(event_id) AS first_id FROM e WHERE n * 100 <=
     "device_retention": "SELECT user_id AS device, count(*) AS n FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-29'",
     "record_crc": "SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id % 9 <> 0",
     "membership": f"WITH {_CHUNKS} SELECT chunk_id FROM chunks WHERE NOT starts_with(note_path, 'src1') AND NOT starts_with(note_path, 'src2/') AND NOT regexp_matches(note_path, '[37][.]md$')",
+    "sentence_counts": r"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?…][.!?…"''”’)\]}»]*)[ \t\r\f\v]+([\p{Lu}\p{N}"''“‘(\[{«])', chr(1) || '\1' || chr(2) || '\2', 'g'), '[\x02\n]'), lambda x: regexp_matches(x, '[^\x01\s]')) AS s FROM documents)
+SELECT doc_id, CAST(coalesce(len(s), 0) AS BIGINT) AS n_sentences FROM s""",
     "sessions": """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g)
 SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2) x GROUP BY 1""",

@@ -37,7 +37,7 @@ def word_count(text: str) -> int:
 
 def _rows(raw: str, path: str, count: Callable[[str], int]) -> list[tuple]:
     if path.endswith(".base"):
-        chunks, meta = M.base_docs(M.base_views(raw), path), {"tags": [], "aliases": [], "created": None, "properties": {}}
+        chunks, meta = M.base_docs(raw, path), {"tags": [], "aliases": [], "created": None, "properties": {}}
     else:
         chunks, meta = M.chunk_note(raw, path)
     out = {}

@@ -6,6 +6,7 @@ from notelake.config import FilterContext
 from notelake.functions import analyzer as A
 from notelake.functions import markdown as M
 from notelake.functions import passages as P
+from notelake.functions import scoring as S
 from notelake.operators import filters as FL
 from notelake.operators import lexical as L
 from notelake.operators import maintenance as MT
@@ -139,3 +140,41 @@ def test_periodic():
     found = T.find_period([i * 60_000.0 for i in range(8)], [2000.0] * 8)
     assert found["n"] == 8 and found["period_ms"] == 60_000
     assert T.find_period([0.0, 5.0], [2000.0, 2000.0]) is None
+
+
+def test_names_as_the_index_reads_them(spark):
+    cover = lambda q, t: spark.range(1).select(S.title_cover(F.lit(q), F.lit(t)).alias("x")).first().x
+    for query, title, want in [("the forest", "the forest park", 1 / 3), ("parks", "City Park", 1 / 2), ("cafe", "Café", 1), ("gpt4", "GPT-4", 1 / 2), ("of the", "of the", 1), ("forest lake", "forest", 0)]:
+        assert cover(query, title) == pytest.approx(want), (query, title)
+    got = spark.range(1).select(S.title_boost(F.lit("green park"), F.lit("a/b/Green Park.md"), F.array(F.lit("x")), 0.5).alias("b"), S.title_match(F.lit("x"), F.lit("a/Green.md"), F.array(F.lit("x"), F.lit("x y"))).alias("m")).first()
+    assert got.b == 0.5 and tuple(got.m) == (0.0, "x")
+
+
+def test_sentences_of_any_script():
+    text = 'Привет мир. Как дела? "Хорошо." (Да!) ok. no\nx. Y'
+    assert [text[a:b] for a, b in P.sentences(text)] == ["Привет мир.", "Как дела?", '"Хорошо."', "(Да!) ok. no", "x.", "Y"]
+
+
+def test_tags_suffixes_and_views():
+    assert M.inline_tags("#ok #2026/06 #12 #a\u2019b x#y `#c` %%#d%% #e/f/ #g//h") == ["ok", "a", "e/f", "g"]
+    props = {"a": ["2024-01-02 trip to Rome"], "b": ["yes"], "c": ["see https://x.y/z"], "d": ["48.1, 11.5"], "e": ["2024-01-02"], "f": ["Notes"]}
+    assert M.dense_suffix("Note", props) == "2024-01-02 trip to Rome"
+    assert M.clean("[![alt](i.png)](https://x.y) <https://a.b/c> end") == "alt end"
+    assert M.clean_body("---\n\ntext\n\n<br>\n\nmore") == "text\n\nmore"
+    assert M.link_terms("[[a/b#c|d]] [t](u/v) https://e.f/g") == "a/b#c u/v https://e.f/g"
+    raw = "filters:\n  and:\n    - 'tag == \"plan\"'\n    - \"!x.isEmpty()\"\nviews:\n  - type: table\n    name: Grid\n    filters:\n      or:\n        - kind == \"loose\"\n  - type: cards\n    name: View 2\n    filters:\n      and:\n        - kind == \"own\"\n        - n == \"12\"\n"
+    assert [(c.title, c.content) for c in M.base_docs(raw, "d/Base.base")] == [("Base", "Base plan loose"), ("Base > View 2", "Base plan own View 2")]
+
+
+def test_periods_as_runs():
+    found = T.find_period([i * 60_000.0 for i in range(5)], [5000.0] * 5)
+    assert (found["n"], found["period_ms"], found["median_ms"], found["jitter_ms"]) == (5, 60_000, 5000, 0)
+    assert T.find_period([0.0, 10_000.0, 20_000.0, 30_300.0, 40_600.0], [2000.0] * 5)["n"] == 5
+    assert T.find_period([0.0, 10_000.0, 20_600.0, 31_200.0], [2000.0] * 4) is None
+
+
+def test_query_forms_side_by_side():
+    ctx = FilterContext(numeric_keys=frozenset({"n"}))
+    text, f = FL.parse('[a:b][n: >5]#x x#y tag:#p/q path:"a b" [bad [k:"v w"] end', ctx)
+    assert f.properties == [("a", "b", False), ("k", "v w", True)] and f.numeric == [("n", ">", 5.0)]
+    assert f.tags == ["p/q"] and f.paths == ["a b"] and text == "#x x#y [bad end"
