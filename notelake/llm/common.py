@@ -117,15 +117,26 @@ def held(key: tuple, make):
     beside what the next one does.
     """
     if key not in _state:
-        if _state:
-            _state.clear()
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+        let_go()
         _state[key] = make()
+        _trim()  # what making it took besides
     return _state[key]
 
 
+def let_go() -> None:
+    """Called by work that holds no state of its own: frees what another operator's left in this worker."""
+    if _state:
+        _state.clear()
+        _trim()
+
+
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def byte_class(separators: bytes) -> np.ndarray:
     """A table of 256 flags: True where the byte belongs to a word."""
     table = np.ones(256, dtype=bool)

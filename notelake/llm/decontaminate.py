@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import ALNUM, LOWER, U64, durable, grams, mix, slices, small_batches, words
+from notelake.llm.common import ALNUM, LOWER, U64, durable, grams, let_go, mix, slices, small_batches, words
 
 SHINGLE = 3
 #: Bytes of item texts up to which the windows are held by every worker (about 150 bytes for each byte of text).
@@ -107,6 +107,7 @@ def _look_up(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(part: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         totals: dict[tuple[int, int], int] = defaultdict(int)
         for b in batches:
             for _, _, data, offsets in slices(b.column(0)):
@@ -148,6 +149,7 @@ def _hits(part: Part, data: np.ndarray, h: np.ndarray, row: np.ndarray, start: n
 
 def _judge(part: Broadcast):
     def run(texts: pa.Array) -> pa.Array:
+        let_go()
         n_words, n_hit, items = [], [], []
         for lo, hi, data, offsets in slices(texts):
             h, row, start, end = words(data, offsets, ALNUM)
@@ -178,6 +180,7 @@ def _held_by_workers(docs: DataFrame, items: DataFrame, text_col: str, window: i
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = list(windows_of([(item, text)], window))
@@ -215,6 +218,7 @@ def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _met(bits: Broadcast, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             for _, _, data, offsets in slices(b.column(0)):
                 h, row, start, end = words(data, offsets, ALNUM)

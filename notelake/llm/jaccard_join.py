@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import SPACED, U64, discard, durable, grams, mix, slices, small_batches, words
+from notelake.llm.common import SPACED, U64, discard, durable, grams, let_go, mix, slices, small_batches, words
 from notelake.llm.components import connected_components
 
 #: Shingles of one group around a hub, and of one part of a block; 8 bytes each.
@@ -97,6 +97,7 @@ def node_of(s: np.ndarray) -> int:
 
 def _rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             n = np.zeros(b.num_rows, np.int64)
             node: list[int | None] = [None] * b.num_rows
@@ -110,6 +111,7 @@ def _rows(k: int):
 
 def _postings(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen: set[int] = set()
         for b in batches:
             tokens, nodes, sizes = [], [], []
@@ -152,6 +154,7 @@ def _sets(k: int):
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), own], names=["node", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen: set[int] = set()
         for b in batches:
             nodes, sets, held = [], [], 0
@@ -261,6 +264,7 @@ def _search(percent: int):
                 yield task, node, label, every[where[i] : where[i + 1]].copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         u: list[int] = []
         v: list[int] = []
         for _, rows in groupby(groups(batches), key=lambda x: x[0]):
@@ -288,6 +292,7 @@ def node_column(text: Column, k: int = 5) -> Column:
     """The node of each text's set; null without words."""
 
     def run(texts: pa.Array) -> pa.Array:
+        let_go()
         out: list[int | None] = [None] * len(texts)
         for i, s in shingle_sets(texts, k):
             out[i] = node_of(s) if len(s) else None
