@@ -136,11 +136,20 @@ def fold_udf(text: Column) -> Column:
     return F.arrow_udf(run, "string")(text)
 
 
-_MARKED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+def _folds() -> tuple[str, str]:
+    """Characters below U+2000 that decompose into a letter and marks, what is left of them, and last the marks that go."""
+    pairs = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, range(0xC0, 0x2000))]
+    pairs = [(c, "".join(x for x in d if unicodedata.category(x)[0] != "M")) for c, d in pairs if d != c and not _CJK.search(c)]
+    marks = "".join(c for c in map(chr, range(0x300, 0x370)) if unicodedata.category(c)[0] == "M")
+    single = [(c, d) for c, d in pairs if len(d) == 1]
+    return "".join(c for c, _ in single) + marks, "".join(d for _, d in single)
+
+
+_MARKED, _PLAIN = _folds()
 
 
 def fold(text: Column) -> Column:
-    """AN7 inside the JVM for lower-case Western European letters."""
+    """AN7 inside the JVM: letters with marks below U+2000 lose them, and so do letters followed by combining marks."""
     return F.translate(text, _MARKED, _PLAIN)
 
 
@@ -213,9 +222,19 @@ def is_tag(tag: str) -> bool:
     return 0 < tag_end(tag, 0) == len(tag) and any(c not in "0123456789/" for c in tag)
 
 
-def terms(text: Column, keep_stopwords: bool = False) -> Column:
-    """AN1, AN7-AN10: tokens, folded and lower-cased, without stopwords, plurals folded."""
-    low = F.transform(tokens(strip_possessive(text)), lambda x: fold(F.lower(x)))
+def cjk_pieces(words: Column) -> Column:
+    """AN5 inside the JVM: words with CJK letters fall into runs, and runs of those letters into overlapping pairs."""
+    run = rf"{CJK}+|[^\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsHangul}}]+"
+    pairs = lambda r: F.when(has_cjk(r) & (F.length(r) > 1), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))).otherwise(F.array(r))
+    return F.flatten(F.transform(words, lambda w: F.when(has_cjk(w), F.flatten(F.transform(F.regexp_extract_all(w, F.lit(run), F.lit(0)), pairs))).otherwise(F.array(w))))
+
+
+def terms(text: Column, keep_stopwords: bool = False, derived: bool = False) -> Column:
+    """AN1, AN7-AN10: tokens, with glued forms and case parts if ``derived``, folded and lower-cased, without stopwords, plurals folded."""
+    own = tokens(strip_possessive(text))
+    own = F.concat(own, derived_forms(text)) if derived else own
+    own = F.when(has_cjk(text), cjk_pieces(own)).otherwise(own)
+    low = F.transform(own, lambda x: fold(F.lower(x)))
     return F.transform(low if keep_stopwords else F.filter(low, lambda x: ~x.isin(STOPWORDS)), depluralize)
 
 

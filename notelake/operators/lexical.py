@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.config import RankingConfig
@@ -11,9 +13,9 @@ from notelake.functions.analyzer import fuzzy_distance, query_terms, terms
 EXEMPT = ("title", "aliases")
 
 
-def field_terms(chunks: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """``(chunk_id, field, terms)``: stopwords stay in names only (AN8)."""
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), terms(F.coalesce(c, F.lit("")), f in EXEMPT).alias("terms")) for f, c in fields.items()])
+def field_terms(chunks: DataFrame, fields: dict[str, Column], derived: bool = False) -> DataFrame:
+    """``(chunk_id, field, terms)``: stopwords stay in names only (AN8); glued and case forms come along if ``derived``."""
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), terms(F.coalesce(c, F.lit("")), f in EXEMPT, derived).alias("terms")) for f, c in fields.items()])
     return chunks.select("chunk_id", F.explode(parts).alias("f")).select("chunk_id", "f.field", "f.terms")
 
 
@@ -57,8 +59,63 @@ def weight(cfg: RankingConfig) -> Column:
     return boost * idf * (cfg.delta + F.col("tf") * (cfg.k1 + 1.0) / (F.col("tf") + cfg.k1 * norm))
 
 
-def term_scores(by_field: DataFrame, wanted: DataFrame, cfg: RankingConfig) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """A kept index: ``postings`` (term, field, chunk_id, tf, len, bucket), ``terms`` (term, field, df, bucket), ``fields`` (field, n_docs, avg_len)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    fields: DataFrame
+    buckets: int
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def write_index(by_field: DataFrame, path: str, stamp: dict, buckets: int = 64) -> None:
+    """IO6, LX15: the texts are analysed once; postings lie in buckets of terms, sorted by term.
+
+    Of every text a row under the empty term is kept, from which lengths and
+    counts of texts follow. Rows are dealt to files by bucket and size, so that
+    a word of every text fills several files instead of one task.
+    """
+    spark = by_field.sparkSession
+    own = F.explode(F.array_append("terms", F.lit("")))
+    posted = by_field.select("chunk_id", "field", F.size("terms").cast("long").alias("len"), own.alias("term")).groupBy("term", "field", "chunk_id", "len").agg(F.count("*").alias("tf"))
+    bucketed = posted.withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket")
+    bucketed.sortWithinPartitions("bucket", "term", "field").write.partitionBy("bucket").parquet(f"{path}/postings")
+    kept = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
+    kept.groupBy("bucket", "term", "field").agg(F.count("*").alias("df")).write.partitionBy("bucket").parquet(f"{path}/terms")
+    kept.where("term = ''").groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).coalesce(1).write.parquet(f"{path}/fields")
+    rows = [(k, str(v)) for k, v in {**stamp, "buckets": buckets}.items()]
+    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.parquet(f"{path}/stamp")  # last: an index without it is torn
+
+
+_POSTINGS = "term string, field string, chunk_id long, len long, tf long, bucket int"
+
+
+def read_index(spark: SparkSession, path: str, stamp: dict) -> Index:
+    """LX15: the kept index; a ``ValueError`` if its stamp differs from ``stamp`` in any of the five keys."""
+    stored = {r.key: r.value for r in spark.read.parquet(f"{path}/stamp").collect()}  # six rows
+    if not stamp_matches(stored, {k: str(v) for k, v in stamp.items()}):
+        raise ValueError("the index was built under another stamp")
+    terms_ = spark.read.schema("term string, field string, df long, bucket int").parquet(f"{path}/terms").where("term <> ''")
+    return Index(spark.read.schema(_POSTINGS).parquet(f"{path}/postings"), terms_, spark.read.parquet(f"{path}/fields"), int(stored["buckets"]))
+
+
+def _kept_scores(index: Index, wanted: DataFrame, cfg: RankingConfig) -> DataFrame:
+    """:func:`term_scores` from a kept index: only buckets of the wanted terms are read."""
+    asked = F.broadcast(wanted.select("term", _bucket(F.col("term"), index.buckets)))  # terms of the queries
+    df = F.broadcast(index.terms.join(asked, ["bucket", "term"]).select("term", "field", "df"))
+    full = index.postings.join(asked, ["bucket", "term"]).join(df, ["term", "field"]).join(F.broadcast(index.fields), "field")
+    return full.groupBy("term", "chunk_id").agg(F.sum(weight(cfg)).alias("score"))
+
+
+def term_scores(by_field: DataFrame | Index, wanted: DataFrame, cfg: RankingConfig) -> DataFrame:
     """``(term, chunk_id, score)`` of single terms, added up over fields, for the wanted terms."""
+    if isinstance(by_field, Index):
+        return _kept_scores(by_field, wanted, cfg)
     posted = postings(by_field, wanted)
     stats = F.broadcast(field_stats(by_field))  # a row for each field
     df = F.broadcast(document_frequency(posted))  # rows: terms of the queries times fields
@@ -71,7 +128,7 @@ def query_terms_of(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(query_terms(F.col("text"))).alias("pos", "term"))
 
 
-def search(by_field: DataFrame, expanded: DataFrame, cfg: RankingConfig) -> DataFrame:
+def search(by_field: DataFrame | Index, expanded: DataFrame, cfg: RankingConfig) -> DataFrame:
     """LX3-LX5: ``(query_id, chunk_id, score, coverage)``.
 
     ``expanded`` has (query_id, source, term, weight); terms are exact, prefix,
@@ -88,7 +145,7 @@ def exact(query_term_rows: DataFrame) -> DataFrame:
     return query_term_rows.select("query_id", F.col("term").alias("source"), "term").distinct().withColumn("weight", F.lit(1.0))
 
 
-def bound(by_field: DataFrame, query_term_rows: DataFrame, cfg: RankingConfig) -> DataFrame:
+def bound(by_field: DataFrame | Index, query_term_rows: DataFrame, cfg: RankingConfig) -> DataFrame:
     """LX6: for every query token's occurrence the best single-term score in the index, added up."""
     best = term_scores(by_field, query_term_rows.select("term").distinct(), cfg).groupBy("term").agg(F.max("score").alias("top"))
     return query_term_rows.join(F.broadcast(best), "term", "left").groupBy("query_id").agg(F.sum(F.coalesce("top", F.lit(0.0))).alias("bound"))
@@ -109,6 +166,8 @@ def fuzzy(words: DataFrame, vocab: DataFrame, cfg: RankingConfig) -> DataFrame:
     two = lambda c: F.array_distinct(F.flatten(F.transform(one(c), one)))
     left = words.select(F.col("term").alias("source"), fuzzy_distance(F.col("term")).alias("k")).distinct().where("k > 0")
     left = left.select("source", "k", F.explode(F.when(F.col("k") == 1, one(F.col("source"))).otherwise(two(F.col("source")))).alias("v"))
+    reach = left.agg(F.min(F.length("source") - F.col("k")).alias("_least"), F.max(F.length("source") + F.col("k")).alias("_most"))
+    vocab = vocab.join(F.broadcast(reach), F.length("term").between(F.col("_least"), F.col("_most")))  # one row
     right = vocab.select("term", F.explode(F.when(F.length("term") <= 4, one(F.col("term"))).otherwise(two(F.col("term")))).alias("v"))
     near = right.join(F.broadcast(left), "v").select("source", "k", "term").distinct()
     d = F.levenshtein("source", "term")
@@ -123,6 +182,30 @@ def prefix(words: DataFrame, vocab: DataFrame, cfg: RankingConfig) -> DataFrame:
     return longer.select("source", "term", (cfg.prefix_weight * F.length("source") / F.length("term")).alias("weight"))
 
 
+def expand(query_term_rows: DataFrame, vocab: DataFrame, cfg: RankingConfig, synonyms: DataFrame | None = None, fuzzily: bool = True, last_prefix: bool = True) -> DataFrame:
+    """LX7, LX8, LX11: ``(query_id, source, term, weight)`` for :func:`search`.
+
+    Every query term is met exactly and within its edits, the last one also by
+    the terms it begins (a term reached both ways counts as begun). Mates from
+    ``synonyms`` (token, mate) are met exactly.
+    """
+    own = exact(query_term_rows)
+    out = own if synonyms is None else expand_synonyms(own, synonyms, cfg)
+    sources = own.select("query_id", "source")
+    last = query_term_rows.groupBy("query_id").agg(F.max_by("term", "pos").alias("source"))
+    near = []
+    if last_prefix:
+        near.append(last.join(prefix(last.select(F.col("source").alias("term")), vocab, cfg), "source").withColumn("way", F.lit(1)))
+    if fuzzily:
+        near.append(sources.join(fuzzy(sources.select(F.col("source").alias("term")), vocab, cfg), "source").withColumn("way", F.lit(0)))
+    for part in near[1:]:
+        near[0] = near[0].unionByName(part)
+    if not near:
+        return out
+    best = near[0].groupBy("query_id", "source", "term").agg(F.max_by("weight", "way").alias("weight"))
+    return out.unionByName(best.select("query_id", "source", "term", "weight"))
+
+
 def synonym_classes(names: DataFrame) -> DataFrame:
     """LX9: ``(note_path, token)`` of notes that have two single-token names or more.
 

@@ -93,6 +93,39 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "note_path", "chunk_id", *rounded("score", "dense", "bm25", "recency", "boost"))
 
 
+STAMP = {"analyzer": 1, "model": "none", "dim": 64, "with_properties": True, "with_headings": True}
+
+
+def six_fields(c: DataFrame) -> DataFrame:
+    """All fields of the index with their derived forms; these chunks have no headings of their own."""
+    fields = {"title": A.note_name(F.col("title")), "aliases": F.array_join("aliases", " "), "tags": F.array_join("tags", " "), "content": F.col("content"), "properties": A.properties_text(F.col("properties")), "headings": F.lit("")}
+    return L.field_terms(N.spread(c), fields, derived=True)
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> L.Index:
+    """An index written to the shared folder, where it stays as any table does, and read back."""
+    path = logs.shared_folder(spark)
+    L.write_index(six_fields(chunks(spark, sf_dir)), path, STAMP)
+    return L.read_index(spark, path, STAMP)
+
+
+@query
+def hybrid_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search over a kept index of all fields; words met with typos, by beginnings and by synonyms."""
+    index = kept_index(spark, sf_dir)
+    q = asked(spark).join(vector_queries(spark, sf_dir), "query_id")
+    mates = spark.createDataFrame([("tion", "ention"), ("tion", "reat"), ("heat", "thing")], "token string, mate string")
+    out = hybrid_search(chunks(spark, sf_dir), index, vectors(spark, sf_dir).select("chunk_id", "vector"), q, CFG, NOW, vocab=index.terms.select("term").distinct(), synonyms=mates)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "note_path", "chunk_id", *rounded("score", "dense", "bm25", "recency", "boost"))
+
+
+@query
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept index: texts that have a term, and occurrences, by field."""
+    posted = kept_index(spark, sf_dir).postings.where("term <> ''")
+    return posted.groupBy("term", "field").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
 @query
 def filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)

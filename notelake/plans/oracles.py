@@ -73,6 +73,62 @@ bound AS (
   SELECT query_id, sum(coalesce(top, 0)) AS bound FROM qt LEFT JOIN (SELECT term, max(score) AS top FROM ts GROUP BY 1) b USING (term) GROUP BY 1
 )"""
 
+# The index of all fields: derived forms, and accents stripped by DuckDB itself.
+_WORD = r"[^\n\r\p{Z}\p{P}\p{Sm}]+"
+
+
+def _all_terms(x: str, keep: bool = False) -> str:
+    bare = rf"regexp_replace({x}, '(\p{{L}})[''’]s([^\p{{L}}\p{{N}}]|$)', '\1\2', 'g')"
+    glued = rf"list_transform(regexp_extract_all({bare}, '{_WORD}(?:[-/.''’]{_WORD})+'), lambda g: regexp_replace(g, '[-/.''’]', '', 'g'))"
+    split = r"string_split(regexp_replace(regexp_replace(c, '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), ' ')"
+    parts = f"flatten(list_filter(list_transform({_tokens(bare)}, lambda c: {split}), lambda p: len(p) > 1))"
+    low = f"list_transform(list_concat({_tokens(bare)}, {glued}, {parts}), lambda t: strip_accents(lower(t)))"
+    kept = low if keep else f"list_filter({low}, lambda t: t NOT IN {_list(STOPWORDS)})"
+    return f"list_transform({kept}, lambda w: {_singular('w')})"
+
+
+_INDEX = f"""{_CHUNKS},
+ft AS (
+  SELECT chunk_id, 'title' AS field, {_all_terms('title', True)} AS terms FROM chunks
+  UNION ALL SELECT chunk_id, 'aliases', {_all_terms("lang || ' ' || title", True)} FROM chunks
+  UNION ALL SELECT chunk_id, 'tags', {_all_terms('lang')} FROM chunks
+  UNION ALL SELECT chunk_id, 'properties', {_all_terms('lang')} FROM chunks
+  UNION ALL SELECT chunk_id, 'content', {_all_terms('content')} FROM chunks
+),
+stats AS (SELECT field, count(*) AS n_docs, avg(len(terms)) AS avg_len FROM ft GROUP BY field),
+post AS (SELECT term, field, chunk_id, count(*) AS tf FROM (SELECT chunk_id, field, unnest(terms) AS term FROM ft) x GROUP BY 1, 2, 3)"""
+
+_EXPANDED = f"""{_INDEX},
+{_QUERIES},
+vocab AS (SELECT DISTINCT term FROM post),
+own AS (SELECT DISTINCT query_id, term AS source FROM qt),
+ends AS (SELECT query_id, max_by(term, pos) AS source FROM qt GROUP BY 1),
+begun AS (SELECT query_id, source, term, 0.375e0 * length(source) / length(term) AS weight FROM ends, vocab WHERE length(source) >= 3 AND starts_with(term, source) AND term <> source),
+typos AS (SELECT query_id, source, term, 0.45e0 * length(term) / (length(term) + levenshtein(source, term)) AS weight FROM own, vocab
+  WHERE NOT regexp_matches(source, '[0-9]') AND levenshtein(source, term) BETWEEN 1 AND CASE WHEN length(source) <= 2 THEN 0 WHEN length(source) <= 5 THEN 1 ELSE 2 END),
+syn(token, mate) AS (VALUES ('tion', 'ention'), ('tion', 'reat'), ('heat', 'thing')),
+forms AS (
+  SELECT query_id, source, source AS term, 1e0 AS weight FROM own UNION ALL SELECT * FROM begun
+  UNION ALL SELECT * FROM typos t WHERE NOT EXISTS (SELECT 1 FROM begun b WHERE b.query_id = t.query_id AND b.source = t.source AND b.term = t.term)
+  UNION ALL SELECT query_id, min(source), mate, 0.8e0 FROM own JOIN syn ON source = token WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.query_id = own.query_id AND o.source = mate) GROUP BY query_id, mate
+),
+df AS (SELECT term, field, count(*) AS df FROM post GROUP BY 1, 2),
+ts AS (
+  SELECT p.term AS term, p.chunk_id AS chunk_id,
+    sum(CASE p.field WHEN 'title' THEN 10e0 WHEN 'aliases' THEN 6e0 WHEN 'properties' THEN 2e0 ELSE 3e0 END * ln(1e0 + (n_docs - df + 0.5e0) / (df + 0.5e0))
+      * (0.5e0 + tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len(terms) / avg_len)))) AS score
+  FROM post p JOIN ft USING (chunk_id, field) JOIN df USING (term, field) JOIN stats USING (field)
+  WHERE p.term IN (SELECT term FROM forms) GROUP BY 1, 2
+),
+idx AS (SELECT query_id, count(DISTINCT source) AS n FROM own WHERE source IN (SELECT term FROM vocab) GROUP BY 1),
+hits AS (
+  SELECT f.query_id AS query_id, chunk_id, sum(score * weight) AS score, CASE WHEN coalesce(max(n), 0) <= 1 THEN 1e0 ELSE least(1e0, count(DISTINCT source) / max(n)) END AS coverage
+  FROM ts JOIN forms f USING (term) LEFT JOIN idx ON idx.query_id = f.query_id GROUP BY 1, 2
+),
+bound AS (
+  SELECT query_id, sum(coalesce(top, 0)) AS bound FROM qt LEFT JOIN (SELECT term, max(score) AS top FROM ts GROUP BY 1) b USING (term) GROUP BY 1
+)"""
+
 _VECTORS = "v AS (SELECT vec_id AS chunk_id, embedding AS vec FROM embeddings), q AS (SELECT vec_id + 1 AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 3)"
 _DOT = "list_sum(list_transform(range(1, len({b}) + 1), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)))"
 _SIGNED = "list_sum(list_transform(range(1, len(vec) + 1), lambda i: CASE WHEN vec[i] >= 0 THEN CAST(qv[i] AS DOUBLE) ELSE -CAST(qv[i] AS DOUBLE) END))"
@@ -104,8 +160,9 @@ _SYNC = """sync AS (
 own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, device ORDER BY mtime DESC, tombstone DESC, seq DESC, off DESC) AS k FROM sync) x WHERE k = 1),
 res AS (SELECT id, mtime, device, seq, off FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY mtime DESC, device DESC, seq DESC, off DESC) AS j FROM own WHERE NOT tombstone) x WHERE j = 1)"""
 
-ORACLES: dict[str, str] = {
-    "hybrid": f"""WITH {_SCORES}, {_VECTORS}, {_scan(_SIGNED, 200)},
+
+def _hybrid(scores: str) -> str:
+    return f"""WITH {scores}, {_VECTORS}, {_scan(_SIGNED, 200)},
 lex AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k FROM hits) x WHERE k <= (SELECT greatest(100, least(400, CAST(round(100 * sqrt(count(*) / 5000e0)) AS BIGINT))) FROM documents)),
 rec AS (SELECT chunk_id FROM chunks WHERE modified IS NOT NULL ORDER BY modified DESC, chunk_id LIMIT 50),
 pool AS (SELECT query_id, t.chunk_id AS chunk_id FROM (SELECT query_id, scored.chunk_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scored.chunk_id) AS k FROM scored JOIN chunks ON scored.chunk_id = chunks.chunk_id) t WHERE k <= 200
@@ -119,7 +176,13 @@ m AS (SELECT n.query_id AS query_id, n.chunk_id AS chunk_id, note_path, dense, C
     CASE WHEN modified IS NULL THEN 0e0 ELSE pow(0.5e0, greatest(epoch(TIMESTAMP '2024-02-01') - epoch(modified), 0) / 86400e0 / 180e0) END AS recency
   FROM n JOIN chunks USING (chunk_id))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank, note_path, chunk_id, round(s, 6) AS score, round(dense, 6) AS dense, round(bm25, 6) AS bm25, round(recency, 6) AS recency, 0e0 AS boost
-FROM (SELECT *, 0.85e0 * dense + 0.15e0 * bm25 AS s FROM m) x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) <= 10""",
+FROM (SELECT *, 0.85e0 * dense + 0.15e0 * bm25 AS s FROM m) x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) <= 10"""
+
+
+ORACLES: dict[str, str] = {
+    "hybrid": _hybrid(_SCORES),
+    "hybrid_expanded": _hybrid(_EXPANDED),
+    "index_terms": f"WITH {_INDEX} SELECT term, field, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY 1, 2",
     "filtered_search": f"""WITH {_SCORES.replace(_QUERIES, "qt(query_id, pos, term) AS (VALUES (1, 0, 'tion'))")}
 SELECT chunk_id, round(score, 6) AS score FROM hits JOIN chunks USING (chunk_id) WHERE lang = 'en' AND n_chars >= 1000 ORDER BY round(score, 6) DESC, chunk_id LIMIT 10""",
     "browse_filters": f"WITH {_CHUNKS} SELECT chunk_id, note_path FROM chunks WHERE lang = 'en' AND title = 'src1' ORDER BY modified DESC NULLS LAST, note_path, chunk_id LIMIT 50",

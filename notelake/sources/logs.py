@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SYNC = "id string, device string, dim int, shard string, seq long, off long, mtime long, tombstone boolean, _corrupt_record string"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path below spark.checkpoint.dir; below a temporary folder only in local mode without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        made = tempfile.TemporaryDirectory(prefix="notelake-index-")
+        atexit.register(made.cleanup)
+        root = made.name
+    return f"{root.rstrip('/')}/notelake-{uuid.uuid4().hex}"
+
+
 def write_sync_log(records: DataFrame, path: str, batch: int) -> None:
     """IO11: every flush is a new, numbered folder; a number is never used again."""
     records.write.mode("errorifexists").option("maxRecordsPerFile", 8_000).json(f"{path}/seq={batch:012d}")
