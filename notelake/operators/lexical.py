@@ -158,20 +158,15 @@ def vocabulary(posted: DataFrame) -> DataFrame:
 def fuzzy(words: DataFrame, vocab: DataFrame, cfg: RankingConfig) -> DataFrame:
     """LX7: ``(source, term, weight)`` within the allowed edits.
 
-    Words within k edits share an equal deletion variant, so both sides are
-    joined on variants of up to two deletions and the distance is then checked.
+    The words of the stated queries travel as one row; every distinct term of
+    ``vocab`` is measured where it lies, and nothing is shuffled.
     """
-    deletions = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
-    one = lambda c: F.array_union(F.array(c), F.when(F.length(c) > 1, deletions(c)).otherwise(F.array(c)))
-    two = lambda c: F.array_distinct(F.flatten(F.transform(one(c), one)))
-    left = words.select(F.col("term").alias("source"), fuzzy_distance(F.col("term")).alias("k")).distinct().where("k > 0")
-    left = left.select("source", "k", F.explode(F.when(F.col("k") == 1, one(F.col("source"))).otherwise(two(F.col("source")))).alias("v"))
-    reach = left.agg(F.min(F.length("source") - F.col("k")).alias("_least"), F.max(F.length("source") + F.col("k")).alias("_most"))
-    vocab = vocab.join(F.broadcast(reach), F.length("term").between(F.col("_least"), F.col("_most")))  # one row
-    right = vocab.select("term", F.explode(F.when(F.length("term") <= 4, one(F.col("term"))).otherwise(two(F.col("term")))).alias("v"))
-    near = right.join(F.broadcast(left), "v").select("source", "k", "term").distinct()
-    d = F.levenshtein("source", "term")
-    return near.where((d >= 1) & (d <= F.col("k"))).select("source", "term", (cfg.fuzzy_weight * F.length("term") / (F.length("term") + d)).alias("weight"))
+    asked = words.select(F.col("term").alias("source"), fuzzy_distance(F.col("term")).alias("k")).distinct().where("k > 0")
+    one = F.broadcast(asked.agg(F.collect_list(F.struct("source", "k", F.length("source").alias("n"))).alias("asked")))
+    edits = lambda x: F.when(F.abs(F.length("term") - x["n"]) <= x["k"], F.levenshtein(x["source"], F.col("term"), 2)).otherwise(-1)
+    met = F.filter(F.transform("asked", lambda x: F.struct(x["source"].alias("source"), x["k"].alias("k"), edits(x).alias("d"))), lambda y: y["d"].between(1, y["k"]))
+    near = vocab.select("term").crossJoin(one).select("term", F.explode(met).alias("m"))
+    return near.select("m.source", "term", (cfg.fuzzy_weight * F.length("term") / (F.length("term") + F.col("m.d"))).alias("weight"))
 
 
 def prefix(words: DataFrame, vocab: DataFrame, cfg: RankingConfig) -> DataFrame:

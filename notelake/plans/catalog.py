@@ -244,13 +244,7 @@ def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def index_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings changed by a delta equal those built anew."""
-    return _changed(by_field(chunks(spark, sf_dir)).where("field <> 'content'"))
-
-
-@query
-def index_delta_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all fields, texts included; dealt by chunk once, so postings are not moved before they are counted."""
+    """Postings changed by a delta equal those built anew; dealt by chunk once, so postings are not moved before they are counted."""
     return _changed(by_field(chunks(spark, sf_dir)).repartition("chunk_id"))
 
 
@@ -268,11 +262,6 @@ def sign_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sign_scan_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sign_scan_top(vectors(spark, sf_dir), vector_queries(spark, sf_dir))
-
-
-@query
-def sign_scan_top_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sign_scan_top(vectors(spark, sf_dir), every_50th(spark, sf_dir))
 
 
@@ -283,11 +272,6 @@ def _sign_scan_top(v: DataFrame, q: DataFrame) -> DataFrame:
 
 @query
 def packed_scan_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed_scan_top(vectors(spark, sf_dir), vector_queries(spark, sf_dir))
-
-
-@query
-def packed_scan_top_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed_scan_top(vectors(spark, sf_dir), every_50th(spark, sf_dir))
 
 
@@ -304,11 +288,6 @@ def int8_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def int8_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _int8_rerank(vectors(spark, sf_dir), vector_queries(spark, sf_dir))
-
-
-@query
-def int8_rerank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _int8_rerank(vectors(spark, sf_dir), every_50th(spark, sf_dir))
 
 
@@ -329,11 +308,6 @@ def background_std(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _confidences(vectors(spark, sf_dir), vector_queries(spark, sf_dir))
-
-
-@query
-def confidences_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _confidences(vectors(spark, sf_dir), every_50th(spark, sf_dir))
 
 
@@ -479,11 +453,6 @@ def recency_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lexical_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexical_floor(vectors(spark, sf_dir), vector_queries(spark, sf_dir))
-
-
-@query
-def lexical_floor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical_floor(vectors(spark, sf_dir), every_50th(spark, sf_dir))
 
 
@@ -582,15 +551,6 @@ def periodic_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def span_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).withColumn("at", F.unix_micros("ts").cast("long") / 1000)
-    ms = F.floor("at").cast("long")
-    tasks = e.where("event_id % 10 = 0").select(F.col("event_id").alias("task_id"), ms.alias("start"), (ms + F.floor(F.col("value") * 100).cast("long")).alias("end"))
-    spans = e.where("event_id % 10 = 1").select(F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("context"), ms.alias("start"), (ms + 20_000).alias("end"))
-    return T.attribute(tasks, spans)
-
-
-@query
-def span_attribution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event takes part: views and clicks open a span, all others are tasks."""
     e = events(spark, sf_dir).withColumn("ms", F.floor(F.unix_micros("ts") / 1000).cast("long"))
     opens = F.coalesce(F.col("event_type").isin("view", "click"), F.lit(False))

@@ -130,6 +130,7 @@ bound AS (
 )"""
 
 _VECTORS = "v AS (SELECT vec_id AS chunk_id, embedding AS vec FROM embeddings), q AS (SELECT vec_id + 1 AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 3)"
+_SEARCHED = "v AS (SELECT vec_id AS chunk_id, embedding AS vec FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0)"
 _DOT = "list_sum(list_transform(range(1, len({b}) + 1), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)))"
 _SIGNED = "list_sum(list_transform(range(1, len(vec) + 1), lambda i: CASE WHEN vec[i] >= 0 THEN CAST(qv[i] AS DOUBLE) ELSE -CAST(qv[i] AS DOUBLE) END))"
 _SCALE = "(list_max(list_transform(vec, lambda x: abs(CAST(x AS DOUBLE)))) / 127e0)"
@@ -209,15 +210,15 @@ SELECT DISTINCT a.token AS token, b.token AS mate FROM o a JOIN o b ON a.k = b.k
 SELECT query_id, term AS source, term, 1e0 AS weight FROM e
 UNION ALL SELECT query_id, min(term) AS source, mate AS term, 0.8e0 AS weight FROM e JOIN syn ON term = token WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.query_id = e.query_id AND f.term = mate) GROUP BY query_id, mate""",
     "index_delta": f"""WITH {_FIELDS}, changed AS (
-  SELECT term, field, chunk_id FROM post WHERE field <> 'content' AND chunk_id % 7 <> 0 UNION ALL SELECT 'moved', field, chunk_id FROM ft WHERE field <> 'content' AND chunk_id % 7 = 0)
+  SELECT term, field, chunk_id FROM post WHERE chunk_id % 7 <> 0 UNION ALL SELECT 'moved', field, chunk_id FROM ft WHERE chunk_id % 7 = 0)
 SELECT term, field, count(*) AS df FROM changed GROUP BY 1, 2""",
     "sign_pack": "SELECT vec_id AS chunk_id, array_to_string(list_transform(range(0, 8), lambda b: CAST(list_sum(list_transform(range(0, 8), lambda i: CASE WHEN embedding[b * 8 + i + 1] >= 0 THEN 1 << i ELSE 0 END)) AS BIGINT)), ',') AS bytes FROM embeddings",
-    "sign_scan_top": f"WITH {_VECTORS}, {_scan(_SIGNED, 20)} SELECT query_id, chunk_id, round(score, 6) AS score FROM top",
-    "packed_scan_top": f"WITH {_VECTORS}, {_scan(_SIGNED, 20)} SELECT query_id, chunk_id, round(score, 6) AS score FROM top",
+    "sign_scan_top": f"WITH {_SEARCHED}, {_scan(_SIGNED, 20)} SELECT query_id, chunk_id, round(score, 6) AS score FROM top",
+    "packed_scan_top": f"WITH {_SEARCHED}, {_scan(_SIGNED, 20)} SELECT query_id, chunk_id, round(score, 6) AS score FROM top",
     "int8_codes": f"WITH {_VECTORS} SELECT chunk_id, round(s, 9) AS scale, CAST(list_sum(list_transform(vec, lambda x: floor(CAST(x AS DOUBLE) / s + 0.5e0))) AS BIGINT) AS code_sum FROM (SELECT *, {_SCALE} AS s FROM v) v",
-    "int8_rerank": f"WITH {_VECTORS}, {_scan(_INT8, 20)} SELECT query_id, chunk_id, round(score, 6) AS score FROM top",
+    "int8_rerank": f"WITH {_SEARCHED}, {_scan(_INT8, 20)} SELECT query_id, chunk_id, round(score, 6) AS score FROM top",
     "background_mean": f"SELECT count(*) AS n, round((SELECT avg({_DOT.format(a='a.embedding', b='b.embedding')}) FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), 6) AS mean FROM embeddings",
-    "confidences": f"""WITH {_VECTORS}, {_scan(_DOT.format(a='qv', b='vec'), 50)}, c AS (SELECT *, 1e0 / (1e0 + exp(-((score - 0.01e0) / 0.125e0 - 2e0) / 0.9e0)) AS p FROM top)
+    "confidences": f"""WITH {_SEARCHED}, {_scan(_DOT.format(a='qv', b='vec'), 50)}, c AS (SELECT *, 1e0 / (1e0 + exp(-((score - 0.01e0) / 0.125e0 - 2e0) / 0.9e0)) AS p FROM top)
 SELECT query_id, chunk_id, round(p, 6) AS confidence, round(CASE WHEN chunk_id % 2 = 0 THEN 0.4e0 ELSE least(greatest(0.85e0 * p + 0.15e0 * 0.4e0, 0e0), 1e0) END, 6) AS strength FROM c""",
     "missing_vectors": "SELECT vec_id IS NULL AS lexical_only, count(*) AS n FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY 1",
     "vector_guard": "SELECT CASE vec_id % 5 WHEN 0 THEN 'dimension' WHEN 1 THEN 'not finite' ELSE 'ok' END AS status, count(*) AS n FROM embeddings GROUP BY 1",
@@ -250,7 +251,7 @@ SELECT user_id, query, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC,
     "title_boosts": f"""WITH t AS (SELECT p_partkey, list_distinct({_terms('p_name', True)}) AS w, list_distinct({_terms("string_split(p_name, ' ')[1]", True)}) AS f FROM part)
 SELECT p_partkey, round(CASE WHEN list_contains(w, 'green') AND list_contains(w, 'forest') THEN 0.5e0 * 2 / len(w) ELSE 0e0 END, 6) AS boost, round(1e0 / len(w), 6) AS own FROM t""",
     "recency_scores": "SELECT o_orderkey, round(CASE WHEN o_orderkey % 11 = 0 THEN 0e0 ELSE pow(0.5e0, greatest((epoch(TIMESTAMP '1998-01-01') - epoch(CAST(o_orderdate AS TIMESTAMP))) / 86400e0, 0e0) / 180e0) END, 6) AS recency FROM orders",
-    "lexical_floor": f"""WITH {_VECTORS}, {_scan(_DOT.format(a='qv', b='vec'), 40)}
+    "lexical_floor": f"""WITH {_SEARCHED}, {_scan(_DOT.format(a='qv', b='vec'), 40)}
 SELECT query_id, chunk_id, round(least(greatest((CASE WHEN chunk_id % 4 = 0 THEN min(CASE WHEN chunk_id % 4 <> 0 THEN score END) OVER (PARTITION BY query_id) ELSE score END + 1e0) / 2e0, 0e0), 1e0), 6) AS dense FROM top""",
     "tag_counts": "SELECT lang AS tag, count(*) AS n FROM documents GROUP BY 1",
     "folder_counts": "SELECT source AS folder, count(*) AS n FROM documents GROUP BY 1",
@@ -268,9 +269,9 @@ SELECT context, round(avg(CASE WHEN applied THEN 1e0 ELSE 0e0 END), 6) AS applie
     "error_milestones": "SELECT message, event_id, k FROM (SELECT event_type AS message, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events) x WHERE k IN (SELECT CAST(pow(2, i) AS BIGINT) FROM range(0, 40) t(i))",
     "stall_gaps": """WITH g AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) - lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)
 SELECT user_id, count(gap) AS n, max(gap) AS longest FROM g GROUP BY 1""",
-    "span_attribution": """WITH e AS (SELECT event_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms, value FROM events),
-t AS (SELECT event_id AS task_id, ms AS a, ms + CAST(floor(value * 100) AS BIGINT) AS z FROM e WHERE event_id % 10 = 0),
-s AS (SELECT 'c' || CAST(event_id AS VARCHAR) AS context, ms AS a, ms + 20000 AS z FROM e WHERE event_id % 10 = 1),
+    "span_attribution": """WITH e AS (SELECT event_id, coalesce(event_type IN ('view', 'click'), false) AS opens, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms, value FROM events),
+t AS (SELECT event_id AS task_id, ms AS a, ms + CAST(floor(value * 100) AS BIGINT) AS z FROM e WHERE NOT opens),
+s AS (SELECT 'c' || CAST(event_id AS VARCHAR) AS context, ms AS a, ms + 20000 AS z FROM e WHERE opens),
 o AS (SELECT task_id, context, row_number() OVER (PARTITION BY task_id ORDER BY least(t.z, s.z) - greatest(t.a, s.a) DESC, s.a DESC, context DESC) AS k FROM t JOIN s ON least(t.z, s.z) > greatest(t.a, s.a))
 SELECT t.task_id AS task_id, coalesce(context, 'idle') AS context FROM t LEFT JOIN o ON t.task_id = o.task_id AND k = 1""",
     "crash_verdicts": """SELECT a.user_id AS user_id, t AS last_type, v AS visibility FROM (SELECT DISTINCT user_id FROM events) a

@@ -56,14 +56,14 @@ def test_all_events_are_attributed(spark):
             met = [(min(end, s + 20_000) - max(r.ms, s), s, c) for s, c in spans if min(end, s + 20_000) > max(r.ms, s)]
             want[r.event_id] = max(met)[2] if met else "idle"
     assert len(want) + len(spans) == len(rows) and {"idle"} < set(want.values())
-    assert sorted(map(tuple, catalog.REGISTRY["span_attribution_all"](spark, SF).select("task_id", "context").collect())) == sorted(want.items())
+    assert sorted(map(tuple, catalog.REGISTRY["span_attribution"](spark, SF).select("task_id", "context").collect())) == sorted(want.items())
 
 
 def test_delta_reaches_texts(spark):
     want = Counter()
     for r in catalog.by_field(catalog.chunks(spark, SF)).collect():
         want.update((t, r.field) for t in (set(r.terms) if r.chunk_id % 7 else {"moved"}))
-    got = {(r.term, r.field): r.df for r in catalog.REGISTRY["index_delta_all"](spark, SF).collect()}
+    got = {(r.term, r.field): r.df for r in catalog.REGISTRY["index_delta"](spark, SF).collect()}
     assert got == dict(want)
     assert sum(f == "content" for _, f in got) > 1000
 
@@ -85,7 +85,7 @@ def test_vector_searches_of_every_50th_row(spark):
     asked = {int(i) for i in ids if i % 50 == 0}
     for name, (other, k) in matrices.items():
         got = {}
-        for r in catalog.REGISTRY[name + "_all"](spark, SF).collect():
+        for r in catalog.REGISTRY[name](spark, SF).collect():
             got.setdefault(r.query_id, set()).add(r.chunk_id)
         assert set(got) == asked and len(asked) == 10
         for i in asked:
