@@ -10,6 +10,8 @@ hashes of shingles and sets and works in these steps.
    order the first l shared shingles lie among the first |x| - T + l of either
    set, so only those are sent out, each as a row (token, node).  Their lists'
    lengths are counted over all rows, with a pre-aggregation in each batch.
+   The tokens go in ``PARTS`` passes by their last bits, each with its own lists,
+   so that the disk holds the rows of one pass at a time.
 3. A node with fewer than l tokens on lists of two nodes or more has no partner
    and goes.  The rest meet again, now only where their sizes allow a link, and
    the same rule is applied again.  Of a node's lists the l - 1 longest are only
@@ -41,6 +43,7 @@ import hashlib
 import heapq
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -55,6 +58,8 @@ from notelake.llm.components import connected_components
 GROUP, BLOCK = 32_768, 32_768
 #: Nodes up to which a list of them is broadcast (8 bytes each).
 BROADCAST_NODES = 1_000_000
+#: Passes over the tokens when lists are counted; the rows of one are on disk at a time.
+PARTS = 4
 #: Places that a step of the heap covers.
 SPAN = 4_096
 _SHARE = 10
@@ -109,7 +114,7 @@ def _rows(k: int):
     return run
 
 
-def _postings(k: int, percent: int):
+def _prefixes(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         seen: set[int] = set()
@@ -127,24 +132,23 @@ def _postings(k: int, percent: int):
                 sizes.append((n, len(own)))
                 held += len(own)
                 if held > 300_000:
-                    yield _posting_batch(tokens, nodes, sizes)
+                    yield _prefix_batch(tokens, nodes, sizes)
                     tokens, nodes, sizes, held = [], [], [], 0
             if tokens:
-                yield _posting_batch(tokens, nodes, sizes)
+                yield _prefix_batch(tokens, nodes, sizes)
 
     return run
 
 
-def _posting_batch(tokens: list, nodes: list, sizes: list) -> pa.RecordBatch:
-    own = np.array([x[1] for x in sizes])
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate(tokens).view(np.int64)),
-            pa.array(np.repeat(np.array(nodes, np.int64), own)),
-            pa.array(np.repeat(np.array([x[0] for x in sizes], np.int64), own)),
-        ],
-        names=["token", "node", "n"],
-    )
+def _prefix_batch(tokens: list, nodes: list, sizes: list) -> pa.RecordBatch:
+    flat = np.concatenate(tokens).view(np.int64)
+    at = np.repeat(np.arange(len(nodes)), [x[1] for x in sizes])
+    columns = [pa.array(nodes, pa.int64()), pa.array([x[0] for x in sizes], pa.int64())]
+    for part in range(PARTS):
+        own = flat % PARTS == part
+        ends = np.concatenate([[0], np.cumsum(np.bincount(at[own], minlength=len(nodes)))])
+        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[own])))
+    return pa.RecordBatch.from_arrays(columns, names=["node", "n", *(f"t{i}" for i in range(PARTS))])
 
 
 def _sets(k: int):
@@ -302,16 +306,21 @@ def node_column(text: Column, k: int = 5) -> Column:
     return F.arrow_udf(run, "long")(text)
 
 
-def candidate_ties(postings: DataFrame, least: str, percent: int) -> DataFrame:
+def candidate_ties(parts: list[DataFrame], least: str, percent: int, source: DataFrame | None = None) -> DataFrame:
     """``(u, n, v)``: the nodes that may have partners and the hubs of their short lists.
 
-    ``postings`` are rows (token, node, n); two partners share ``least`` (SQL, of
-    n) of them or more.
+    ``parts`` are rows (token, node, n), no token in two of them; two partners share
+    ``least`` (SQL, of n) of all of them or more. ``source``, the table they are read
+    from, is removed once they have been.
     """
     least = F.expr(least)
-    lists = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "df")
-    first = postings.join(lists, "token").groupBy("node", "n").agg(F.collect_set(F.struct("df", "token")).alias("on")).where(F.size("on") >= least)
-    held = durable(first)
+    shared = []
+    for postings in parts:
+        lists = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "df")
+        shared.append(durable(postings.join(lists, "token").groupBy("node", "n").agg(F.collect_set(F.struct("df", "token")).alias("on"))))
+    held = durable(reduce(DataFrame.unionByName, shared).groupBy("node", "n").agg(F.flatten(F.collect_list("on")).alias("on")).where(F.size("on") >= least))
+    for part in shared if source is None else [*shared, source]:
+        discard(part)
     # Partners' sizes differ by a factor of 100 / percent at most, so they share one of two neighbouring bands.
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
     rows = held.select("node", "n", F.explode("on").alias("t"), band.alias("b")).select("node", "n", "t.df", "t.token", F.explode(F.array("b", F.col("b") + 1)).alias("band"))
@@ -383,14 +392,17 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = durable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_rows(k), f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node long"))
     texts = small_batches(docs).select(F.col(text_col).alias("text"))
     full = f"cast(ceil({percent}D * n / 100) as long)"
-    ties = candidate_ties(texts.mapInArrow(_postings(k, percent), "token long, node long, n long"), f"1 + {full} div {_SHARE}", percent)
+    columns = "".join(f", t{i} array<long>" for i in range(PARTS))
+    prefixes = durable(texts.mapInArrow(_prefixes(k, percent), f"node long, n long{columns}"))
+    ties = candidate_ties([prefixes.select(F.explode(f"t{i}").alias("token"), "node", "n") for i in range(PARTS)], f"1 + {full} div {_SHARE}", percent, prefixes)
     sets = durable(texts.mapInArrow(_sets(k), "node long, shingles array<long>").join(_few(ties.select(F.col("u").alias("node")).distinct()), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
     labels = connected_components(searched(around_hubs(ties), sets, percent))
     rest = durable(unsettled(ties, labels))
     more = None
     if not rest.isEmpty():
         left = sets.join(_few(rest.select(F.col("u").alias("node")).distinct()), "node", "left_semi")
-        again = candidate_ties(left.select(F.explode("shingles").alias("token"), "node", F.size("shingles").cast("long").alias("n")), full, percent)
+        every = left.select(F.explode("shingles").alias("token"), "node", F.size("shingles").cast("long").alias("n"))
+        again = candidate_ties([every.where(F.pmod("token", F.lit(PARTS)) == i) for i in range(PARTS)], full, percent)
         still = durable(unsettled(again, labels))
         if not still.isEmpty():
             more = _between_labels(searched(pairs_of_parts(still), sets, percent), labels)

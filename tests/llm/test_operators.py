@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -491,3 +492,21 @@ def test_decontamination(spark, monkeypatch, held):
     assert decontaminate.decontaminate(df, bench.limit(0)).count() == len(texts)
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
     assert decontaminate.decontaminate(df, bench, drop=False).columns == [*df.columns, "contamination"]
+
+
+def test_jaccard_passes(spark, monkeypatch):
+    """Each pass holds a part of the tokens only; together they are all of them, and the links do not depend on their number."""
+    rows = [*ODD, *near_copies(4)]
+    texts = docs_of(spark, rows).select("text").coalesce(1)
+    names = [f"t{i}" for i in range(jaccard_join.PARTS)]
+    got = texts.mapInArrow(jaccard_join._prefixes(5, 75), "node long, n long" + "".join(f", {t} array<long>" for t in names)).collect()
+    want = {jaccard_join.node_of(s): s for _, t in rows for _, s in jaccard_join.shingle_sets(pa.array([t], pa.string()), 5) if len(s)}
+    assert len(got) == len(want) > 20
+    for r in got:
+        own, parts = want[r.node].view(np.int64), [r[t] for t in names]
+        whole = own[: r.n - jaccard_join.required(r.n, 75) + jaccard_join.extra(r.n)]
+        assert r.n == len(own) and sorted(sum(parts, [])) == sorted(whole.tolist())
+        assert all(x % len(names) == i for i, t in enumerate(parts) for x in t)
+    assert 0.15 < min(sum(len(r[t]) for r in got) for t in names) / sum(len(r[t]) for r in got for t in names)
+    monkeypatch.setattr(jaccard_join, "PARTS", 3)
+    assert Counter(map(tuple, jaccard_join.jaccard_join(docs_of(spark, rows)).collect())) == brute_components(rows)
