@@ -303,7 +303,9 @@ def node_column(text: Column, k: int = 5) -> Column:
         return pa.array(out, pa.int64())
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "long")(text)
+    # As nondeterministic it is worked out once and where it stands: a filter on it that moved down would run it
+    # a second time beside it, over every row and in a second worker for each task.
+    return F.arrow_udf(run, "long").asNondeterministic()(text)
 
 
 def candidate_ties(parts: list[DataFrame], least: str, percent: int, source: DataFrame | None = None) -> DataFrame:

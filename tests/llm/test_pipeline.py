@@ -79,6 +79,18 @@ def test_near_duplicates_judges_rows(spark):
     assert p.near_duplicates(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_duplicates_cuts_only_shared_rows_again_and_once(spark):
+    """Two evaluations side by side, each over the rows with shared or null ids; none above another (a further worker for each task)."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = p.near_duplicates(spark, docs, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    at = [i for i, x in enumerate(plan) if "ArrowEvalPython" in x]
+    assert len(at) == 2
+    for i in at:
+        below = plan[i + 1 : next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))]
+        assert any("LeftSemi" in x for x in below) and not any("ArrowEvalPython" in x for x in below)
+
+
 def test_stages_take_odd_documents(spark, tmp_path):
     docs = odd_documents(spark)
     for i, (_, stage) in enumerate(p.STAGES):
