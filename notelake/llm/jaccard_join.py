@@ -8,10 +8,11 @@ hashes of shingles and sets and works in these steps.
    so a group of copies of any size costs one node.
 2. A partner of x shares at least T = ceil(3/4 |x|) shingles with it.  In hash
    order the first l shared shingles lie among the first |x| - T + l of either
-   set, so only those are sent out, each as a row (token, node).  Their lists'
-   lengths are counted over all rows, with a pre-aggregation in each batch.
-   The tokens go in ``PARTS`` passes by their last bits, each with its own lists,
-   so that the disk holds the rows of one pass at a time.
+   set, so only those are counted.  They travel packed: a *chunk* is a row with
+   the tokens of many nodes, sends each of its distinct tokens once, as 32 bits, to
+   the bucket that the token's last bits name, and gets back a byte for the length
+   of the token's list over all chunks.  Two tokens with the same bits count as
+   one: a list may then seem longer, never shorter, so no link is lost.
 3. A node with fewer than l tokens on lists of two nodes or more has no partner
    and goes.  The rest meet again, now only where their sizes allow a link, and
    the same rule is applied again.  Of a node's lists the l - 1 longest are only
@@ -42,8 +43,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import os
 from collections.abc import Iterable, Iterator
-from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -58,8 +59,10 @@ from notelake.llm.components import connected_components
 GROUP, BLOCK = 32_768, 32_768
 #: Nodes up to which a list of them is broadcast (8 bytes each).
 BROADCAST_NODES = 1_000_000
-#: Passes over the tokens when lists are counted; the rows of one are on disk at a time.
+#: Parts by the tokens' last bits in which prefixes can be had as lists.
 PARTS = 4
+#: Tokens of one chunk, and about as many of a bucket, when lists are counted.
+CHUNK, BUCKET = 262_144, 524_288
 #: Places that a step of the heap covers.
 SPAN = 4_096
 _SHARE = 10
@@ -100,21 +103,56 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _rows(k: int):
+def _packed(arrays: list[np.ndarray | None], width: int = 8) -> pa.Array:
+    """Binary values of the arrays' bytes, ``width`` to a number; null for None."""
+    ends = np.concatenate([[0], np.cumsum([0 if x is None else len(x) * width for x in arrays])]).astype(np.int32)
+    own = [x for x in arrays if x is not None and len(x)]
+    data = pa.py_buffer(np.concatenate(own) if own else b"")
+    valid = None if len(own) == len(arrays) else pa.array([x is not None for x in arrays], pa.bool_()).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(arrays), [valid, pa.py_buffer(ends), data])
+
+
+def _unpacked(column: pa.Array, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=kind) for x in column]
+
+
+def _told(k: int, percent: int):
+    """Of rows (id, text, digest of the text): id, size, node, digest, and the prefix of each set that is new in the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
+        seen: set[int] = set()
         for b in batches:
-            n = np.zeros(b.num_rows, np.int64)
-            node: list[int | None] = [None] * b.num_rows
-            for i, s in shingle_sets(b.column(1), k):
-                n[i] = len(s)
-                node[i] = node_of(s) if len(s) else None
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(node, pa.int64())], names=["id", "n_shingles", "node"])
+            n: list[int] = []
+            node: list[int | None] = []
+            prefix: list[np.ndarray | None] = []
+            held = lo = 0
+
+            def batch(b=b):
+                own = [b.column(i).slice(lo, len(n)) for i in (0, 2)]
+                return pa.RecordBatch.from_arrays([own[0], pa.array(n, pa.int64()), pa.array(node, pa.int64()), own[1], _packed(prefix)], names=["id", "n_shingles", "node", "digest", "prefix"])
+
+            for _, s in shingle_sets(b.column(1), k):
+                n.append(len(s))
+                node.append(node_of(s) if len(s) else None)
+                new = len(s) > 0 and node[-1] not in seen
+                prefix.append(s[: len(s) - required(len(s), percent) + extra(len(s))] if new else None)
+                if new:
+                    seen.add(node[-1])
+                    held += len(prefix[-1])
+                if held > 300_000:
+                    yield batch()
+                    lo += len(n)
+                    n, node, prefix, held = [], [], [], 0
+            if n:
+                yield batch()
 
     return run
 
 
 def _prefixes(k: int, percent: int):
+    """Nodes of texts with their prefixes as lists, in ``PARTS`` by the tokens' last bits; the join itself packs them (``_told``)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         seen: set[int] = set()
@@ -153,9 +191,7 @@ def _prefix_batch(tokens: list, nodes: list, sizes: list) -> pa.RecordBatch:
 
 def _sets(k: int):
     def batch(nodes: list, sets: list) -> pa.RecordBatch:
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-        own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), own], names=["node", "shingles"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _packed(sets)], names=["node", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -263,9 +299,8 @@ def search_block(sets: list[np.ndarray], percent: int = 75, labels: list[int] |
 def _search(percent: int):
     def groups(batches: Iterable[pa.RecordBatch]):
         for b in batches:
-            where, every = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy().view(U64)
-            for i, (task, node, label) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                yield task, node, label, every[where[i] : where[i + 1]].copy()
+            for task, node, label, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), _unpacked(b.column(3), U64), strict=True):
+                yield task, node, label, s.copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -308,28 +343,127 @@ def node_column(text: Column, k: int = 5) -> Column:
     return F.arrow_udf(run, "long").asNondeterministic()(text)
 
 
-def candidate_ties(parts: list[DataFrame], least: str, percent: int, source: DataFrame | None = None) -> DataFrame:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, n, least, tokens), those of a node in one task, to chunks of many nodes, each node once."""
+    let_go()
+    seen: set[int] = set()
+    rows: list[tuple[int, int, int]] = []
+    tokens: list[np.ndarray] = []
+    held = 0
+
+    def chunk() -> pa.RecordBatch:
+        name = int.from_bytes(os.urandom(8), "little", signed=True)
+        what = np.array([(*x, len(t)) for x, t in zip(rows, tokens, strict=True)], dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([held], pa.int64()), _packed([what.ravel()]), _packed([np.concatenate(tokens)])], names=["chunk", "m", "nodes", "tokens"])
+
+    for b in batches:
+        for node, n, least, own in zip(*(b.column(i).to_pylist() for i in range(3)), _unpacked(b.column(3), U64), strict=True):
+            if node not in seen:
+                seen.add(node)
+                rows.append((node, n, least))
+                tokens.append(own.copy())
+                held += len(own)
+            if held >= CHUNK:
+                yield chunk()
+                rows, tokens, held = [], [], 0
+    if rows:
+        yield chunk()
+
+
+def _turned(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Tokens with their last bits, which name the bucket, in front."""
+    return (tokens >> U64(bits)) | (tokens << U64(64 - bits))
+
+
+def _asked(bits: int):
+    """Chunks to rows (bucket, chunk, marks, times): 32 bits of each distinct token and how often the chunk has it, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for b in batches:
+            for chunk, own in zip(b.column(0).to_pylist(), _unpacked(b.column(1), U64), strict=True):
+                u, times = np.unique(_turned(own, bits), return_counts=True)
+                at = np.searchsorted(u >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
+                bucket = np.flatnonzero(np.diff(at))
+                at = np.append(at[bucket], len(u))
+                columns = [pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), chunk), pa.int64())]
+                for x in ((u >> U64(32 - bits)).astype(np.uint32), np.minimum(times, 255).astype(np.uint8)):
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(bucket), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x)]))
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "marks", "times"])
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_asked`` by bucket to (chunk, bucket, lengths): a byte for each mark, 0 for a list of one node, else growing with the list."""
+    let_go()
+    rows = ((bucket, x) for b in batches for bucket, *x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _unpacked(b.column(2), np.uint32), _unpacked(b.column(3), np.uint8), strict=True))
+    for bucket, group in groupby(rows, key=lambda x: x[0]):
+        chunks, marks, times = zip(*((c, m.copy(), t.copy()) for _, (c, m, t) in group), strict=True)
+        ends = np.cumsum([len(x) for x in marks])
+        every = np.concatenate(marks)
+        order = np.argsort(every, kind="stable")
+        first = np.flatnonzero(np.diff(every[order], prepend=every[order[:1]] ^ 1))
+        total = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), first)
+        lengths = np.empty(len(every), np.uint8)
+        lengths[order] = np.repeat(np.where(total > 1, np.minimum(255, 8 * np.log2(total)), 0).astype(np.uint8), np.diff(first, append=len(every)))
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int32()), _packed(np.split(lengths, ends[:-1]), 1)], names=["chunk", "bucket", "lengths"])
+
+
+def _shared(bits: int):
+    """Chunks with their answers to (node, n, least, on): the tokens (df, token) of lists of two nodes or more, if there are ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for b in batches:
+            for what, tokens, answers in zip(_unpacked(b.column(0), np.int64), _unpacked(b.column(1), U64), b.column(2), strict=True):
+                node, n, least, size = what.reshape(-1, 4).T
+                own = _turned(tokens, bits)
+                lengths = np.frombuffer(b"".join(x["lengths"] for x in answers.as_py()), np.uint8)[np.searchsorted(np.unique(own), own)]
+                at = np.repeat(np.arange(len(node)), size)
+                many = np.bincount(at[lengths > 0], minlength=len(node))
+                enough = many >= least
+                taken = (lengths > 0) & enough[at]
+                on = pa.StructArray.from_arrays([pa.array(lengths[taken], pa.int32()), pa.array(tokens[taken].view(np.int64))], names=["df", "token"])
+                ends = np.concatenate([[0], np.cumsum(many[enough])])
+                yield pa.RecordBatch.from_arrays([pa.array(x[enough]) for x in (node, n, least)] + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), on)], names=["node", "n", "least", "on"])
+
+    return run
+
+
+def listed(packed: DataFrame, least: str, source: DataFrame | None = None) -> DataFrame:
+    """``(node, n, least, on)`` of rows (node, n, tokens): nodes on ``least`` lists or more that other nodes are on too, and these lists."""
+    dealt = packed.select("node", "n", F.expr(least).alias("least"), "tokens").repartition("node")
+    chunks = durable(dealt.mapInArrow(_chunks, "chunk long, m long, nodes binary, tokens binary"))
+    if source is not None:
+        discard(source)
+    # 64 buckets at least and 2^24 at most: the marks are the 32 bits behind those that name the bucket.
+    bits = min(24, max(6, math.ceil(math.log2(max(1, (chunks.agg(F.sum("m")).first()[0] or 0) / BUCKET)))))
+    asked = chunks.select("chunk", "tokens").mapInArrow(_asked(bits), "bucket int, chunk long, marks binary, times binary")
+    answers = durable(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answered, "chunk long, bucket int, lengths binary"))
+    # Put in order by bucket: a chunk's own order.
+    of = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "lengths"))).alias("answers"))
+    out = durable(chunks.join(of, "chunk").select("nodes", "tokens", "answers").mapInArrow(_shared(bits), "node long, n long, least long, on array<struct<df: int, token: long>>"))
+    for done in (chunks, answers):
+        discard(done)
+    return out
+
+
+def candidate_ties(packed: DataFrame, least: str, percent: int, source: DataFrame | None = None) -> DataFrame:
     """``(u, n, v)``: the nodes that may have partners and the hubs of their short lists.
 
-    ``parts`` are rows (token, node, n), no token in two of them; two partners share
-    ``least`` (SQL, of n) of all of them or more. ``source``, the table they are read
+    ``packed`` has rows (node, n, tokens), the tokens as 8 bytes each; two partners share
+    ``least`` (SQL, of n) of them or more. ``source``, the table they are read
     from, is removed once they have been.
     """
-    least = F.expr(least)
-    shared = []
-    for postings in parts:
-        lists = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "df")
-        shared.append(durable(postings.join(lists, "token").groupBy("node", "n").agg(F.collect_set(F.struct("df", "token")).alias("on"))))
-    held = durable(reduce(DataFrame.unionByName, shared).groupBy("node", "n").agg(F.flatten(F.collect_list("on")).alias("on")).where(F.size("on") >= least))
-    for part in shared if source is None else [*shared, source]:
-        discard(part)
+    held = listed(packed, least, source)
     # Partners' sizes differ by a factor of 100 / percent at most, so they share one of two neighbouring bands.
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
-    rows = held.select("node", "n", F.explode("on").alias("t"), band.alias("b")).select("node", "n", "t.df", "t.token", F.explode(F.array("b", F.col("b") + 1)).alias("band"))
+    rows = held.select("node", "n", "least", F.explode("on").alias("t"), band.alias("b")).select("node", "n", "least", "t.df", "t.token", F.explode(F.array("b", F.col("b") + 1)).alias("band"))
     near = rows.groupBy("token", "band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "band", "hub")
-    met = rows.join(near, ["token", "band"]).groupBy("node", "n").agg(F.collect_list(F.struct("df", "token", "hub")).alias("all"), F.sort_array(F.collect_set(F.struct("df", "token"))).alias("tokens"))
-    ranked = met.where(F.size("tokens") >= least)
-    last = F.element_at("tokens", (F.size("tokens") - least + 1).cast("int"))
+    met = rows.join(near, ["token", "band"]).groupBy("node", "n", "least").agg(F.collect_list(F.struct("df", "token", "hub")).alias("all"), F.sort_array(F.collect_set(F.struct("df", "token"))).alias("tokens"))
+    ranked = met.where(F.size("tokens") >= F.col("least"))
+    last = F.element_at("tokens", (F.size("tokens") - F.col("least") + 1).cast("int"))
     short = ranked.withColumn("last", last).withColumn("hubs", F.array_distinct(F.transform(F.filter("all", lambda x: F.struct(x["df"].alias("df"), x["token"].alias("token")) <= F.col("last")), lambda x: x["hub"])))
     ties = durable(short.select(F.col("node").alias("u"), "n", F.explode("hubs").alias("v")))
     discard(held)
@@ -391,20 +525,21 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A node is a 64-bit digest of a set: among 10^9 distinct texts two unequal ones
     bear the same with a chance of 0.03.
     """
-    rows = durable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_rows(k), f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node long"))
-    texts = small_batches(docs).select(F.col(text_col).alias("text"))
+    # The digest finds the texts of the nodes that are left again without cutting all of them a second time.
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    told = durable(texts.mapInArrow(_told(k, percent), f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, node long, digest long, prefix binary"))
+    rows = durable(told.select("id", "n_shingles", "node", "digest"))
     full = f"cast(ceil({percent}D * n / 100) as long)"
-    columns = "".join(f", t{i} array<long>" for i in range(PARTS))
-    prefixes = durable(texts.mapInArrow(_prefixes(k, percent), f"node long, n long{columns}"))
-    ties = candidate_ties([prefixes.select(F.explode(f"t{i}").alias("token"), "node", "n") for i in range(PARTS)], f"1 + {full} div {_SHARE}", percent, prefixes)
-    sets = durable(texts.mapInArrow(_sets(k), "node long, shingles array<long>").join(_few(ties.select(F.col("u").alias("node")).distinct()), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    ties = candidate_ties(told.where("prefix is not null").select("node", F.col("n_shingles").alias("n"), F.col("prefix").alias("tokens")), f"1 + {full} div {_SHARE}", percent, told)
+    left = rows.join(_few(ties.select(F.col("u").alias("node")).distinct()), "node", "left_semi")
+    wanted = _few(durable(left.groupBy("node").agg(F.min("digest").alias("digest")).select("digest").distinct()))
+    sets = durable(texts.join(wanted, "digest", "left_semi").select("text").mapInArrow(_sets(k), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")))
     labels = connected_components(searched(around_hubs(ties), sets, percent))
     rest = durable(unsettled(ties, labels))
     more = None
     if not rest.isEmpty():
         left = sets.join(_few(rest.select(F.col("u").alias("node")).distinct()), "node", "left_semi")
-        every = left.select(F.explode("shingles").alias("token"), "node", F.size("shingles").cast("long").alias("n"))
-        again = candidate_ties([every.where(F.pmod("token", F.lit(PARTS)) == i) for i in range(PARTS)], full, percent)
+        again = candidate_ties(left.select("node", F.expr("octet_length(shingles) div 8").alias("n"), F.col("shingles").alias("tokens")), full, percent)
         still = durable(unsettled(again, labels))
         if not still.isEmpty():
             more = _between_labels(searched(pairs_of_parts(still), sets, percent), labels)
@@ -417,7 +552,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     components = durable(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id"))
     for done in (ties, sets, rest):
         discard(done)
-    return rows, components
+    return rows.select("id", "n_shingles", "node"), components
 
 
 def _between_labels(links: DataFrame, labels: DataFrame) -> DataFrame:

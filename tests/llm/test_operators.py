@@ -510,3 +510,53 @@ def test_jaccard_passes(spark, monkeypatch):
     assert 0.15 < min(sum(len(r[t]) for r in got) for t in names) / sum(len(r[t]) for r in got for t in names)
     monkeypatch.setattr(jaccard_join, "PARTS", 3)
     assert Counter(map(tuple, jaccard_join.jaccard_join(docs_of(spark, rows)).collect())) == brute_components(rows)
+
+
+def test_jaccard_tokens_travel_packed(spark):
+    """Texts that share nothing: no row is moved for each of their tokens, and no more rows for longer texts."""
+    r = random.Random(21)
+    status = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def moved(words):
+        stages = lambda: (x.apply(i) for x in [status.stageList(None, False, False, none, None)] for i in range(x.size()))
+        rows = [(i, " ".join(str(r.random()) for _ in range(words))) for i in range(40)]
+        docs = docs_of(spark, rows)
+        last = max((x.stageId() for x in stages()), default=-1)
+        got = Counter(map(tuple, jaccard_join.jaccard_join(docs).collect()))
+        assert got == Counter((i, words - 4, i) for i, _ in rows)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(x.shuffleWriteRecords() for x in stages() if x.stageId() > last)
+
+    assert moved(400) < 40 * 0.25 * 400 / 2  # 64 buckets for each chunk, and rows of nodes
+
+
+@pytest.mark.parametrize("bits", [1, 6, 24])
+def test_jaccard_lists(monkeypatch, bits):
+    """The tokens on lists of two nodes or more, from chunks of a few nodes; a node that comes twice counts once."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 50)
+    r = random.Random(22)
+    pool = [r.getrandbits(64) for _ in range(150)]
+    sets = {i - 30: np.array(sorted({*r.sample(pool, r.randint(0, 8)), *(r.getrandbits(64) for _ in range(r.randint(1, 5)))}), dtype=np.uint64) for i in range(80)}
+    nodes = [*sets, *list(sets)[:20]]
+    rows = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(sets[i]) for i in nodes], pa.int64()), pa.array([2] * len(nodes), pa.int64()), jaccard_join._packed([sets[i] for i in nodes])], names=["node", "n", "least", "tokens"])
+    chunks = list(jaccard_join._chunks(iter([rows])))
+    assert len(chunks) > 5 and sum(c.column(1)[0].as_py() for c in chunks) == sum(map(len, sets.values()))
+    asked = [x for c in chunks for b in jaccard_join._asked(bits)(iter([c.select(["chunk", "tokens"])])) for x in b.to_pylist()]
+    asked.sort(key=lambda x: x["bucket"])
+    assert max(x["bucket"] for x in asked) < 1 << bits
+    answers = [x for b in jaccard_join._answered(pa.Table.from_pylist(asked, pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("marks", pa.binary()), ("times", pa.binary())])).to_batches(7)) for x in b.to_pylist()]
+    many = Counter(x for own in sets.values() for x in own.view(np.int64).tolist())
+    got, lengths = {}, {}
+    for c in chunks:
+        own = [{"bucket": x["bucket"], "lengths": x["lengths"]} for x in sorted(answers, key=lambda x: x["bucket"]) if x["chunk"] == c.column(0)[0].as_py()]
+        kind = pa.list_(pa.struct([("bucket", pa.int32()), ("lengths", pa.binary())]))
+        full = pa.RecordBatch.from_arrays([c.column(2), c.column(3), pa.array([own], kind)], names=["nodes", "tokens", "answers"])
+        for x in (x for b in jaccard_join._shared(bits)(iter([full])) for x in b.to_pylist()):
+            assert x["n"] == len(sets[x["node"]]) and x["least"] == 2 and x["node"] not in got
+            got[x["node"]] = sorted(y["token"] for y in x["on"])
+            for y in x["on"]:
+                assert lengths.setdefault(y["token"], y["df"]) == y["df"]
+    want = {i: sorted(x for x in own.view(np.int64).tolist() if many[x] > 1) for i, own in sets.items()}
+    assert got == {i: x for i, x in want.items() if len(x) >= 2} and 20 < len(got) < 80
+    assert all(lengths[x] <= lengths[y] for x in lengths for y in lengths if many[x] <= many[y])
