@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 
 from notelake.llm.common import held, small_batches
 
-#: Entries after which a worker's memory of chunks, words or cells starts anew (about 200 MB in all).
-REMEMBERED, WORDS, CELLS = 400_000, 150_000, 200_000
+#: Entries after which a worker's memory of chunks, words or cells starts anew: just below those at which a dictionary's table doubles.
+REMEMBERED, WORDS, CELLS = 174_000, 87_000, 174_000
 RESULT = "struct<n_tokens: long, ids: array<int>>"
 DIGEST = "struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>"
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -117,11 +117,11 @@ class Automaton:
         # by state: the label that leads to it, the rank it was added at, the row its label's first state is a copy of
         self.label, self.born, self.below = [-1], [-1], [0]
         self.target: dict[int, int] = dict.fromkeys(vocabulary.values(), self.start)
-        self.gone: dict[tuple[int, int], int] = {}
+        self.gone: dict[int, int] = {}
         for i, (a, b) in enumerate(merges):
             u, v, w = vocabulary[a], vocabulary[b], vocabulary[a + b]
             before, after = self.target[u], self.target[v]
-            self.gone[u, v] = i
+            self.gone[u << 20 | v] = i
             self.target[u] = len(self.label)
             self.below.append(self.below[before] if self.label[before] == u else before)
             self.label.append(u)
@@ -133,7 +133,15 @@ class Automaton:
             at = self.trie
             for c in symbols(t):
                 at = at.setdefault(c, {})
-            at[None] = i
+            at[""] = i
+        # a node that only ends a label is the label's id: most are, and a dictionary for each takes 184 bytes
+        nodes = [self.trie]
+        for at in nodes:
+            for c, below in at.items():
+                if c and below.keys() == {""}:
+                    at[c] = below[""]
+                elif c:
+                    nodes.append(below)
         self.cells: dict[int, int] = {}
 
     def step(self, state: int, token: int) -> int:
@@ -156,7 +164,7 @@ class Automaton:
         while state != self.start:
             label, until, t = self.label[state], self.born[state], token
             while True:
-                went = self.gone.get((label, t))
+                went = self.gone.get(label << 20 | t)
                 if went is not None and went <= until:
                     return False
                 if t not in self.left:
@@ -171,7 +179,7 @@ class Automaton:
         state: list[int] = [self.start] + [-1] * n
         last = [0] * (n + 1)
         come = [0] * (n + 1)
-        step, cells, trie, none = self.step, self.cells, self.trie, -1
+        step, cells, trie, none, end = self.step, self.cells, self.trie, -1, {}
         for i in range(n):
             row, at = state[i], trie
             if row == none:
@@ -181,7 +189,11 @@ class Automaton:
                 at = at.get(word[j])
                 if at is None:
                     break
-                if state[j + 1] == none and (token := at.get(None)) is not None:
+                if at.__class__ is dict:
+                    token = at.get("")
+                else:
+                    token, at = at, end
+                if state[j + 1] == none and token is not None:
                     to = cells.get(key | token)
                     if to is None:
                         to = step(row, token)
@@ -212,34 +224,39 @@ class Encoder:
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.automaton = Automaton(model["vocab"], merges)
-        self.labels = self.automaton.labels | {i: t for t, i in self.added.items()}
+        self.labels = self.automaton.labels
+        self.labels.update({i: t for t, i in self.added.items()})
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.word = regex.compile(_WORD.format(letters=_kind(r"\p{L}", *more["letters"]), numbers=_kind(r"\p{N}", *more["numbers"])))
         self.lower = str.maketrans(more["lower"])
         self.bytes = byte_alphabet()
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.ids = _Memory(self)
         self.by_text = {b"%d" % i: t.encode() for i, t in self.labels.items()}
 
-    def chunk(self, chunk: bytes) -> list[int]:
-        """Ids of a stretch without ASCII white space; nothing reaches across such space."""
-        out: list[int] = []
+    def chunk(self, chunk: bytes) -> bytes:
+        """Ids, joined by spaces, of a stretch without ASCII white space; nothing reaches across such space."""
+        out: list[bytes] = []
         text = chunk.decode("utf-8", "replace")
         for k, part in enumerate(self.split.split(text) if self.split and "<" in text else [text]):
             if k % 2:
-                out.append(self.added[part])
+                out.append(b"%d" % self.added[part])
                 continue
             folded = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower().translate(self.lower)
-            for w in (folded,) if folded.isalpha() and folded.isascii() else self.word.findall(folded):
-                out.extend(self.encode_word(w))
-        return out
-
-    def encode_word(self, w: str) -> list[int]:
+            if folded.isascii() and folded[:-1].isalpha():
+                own = (folded,) if folded.isalpha() else (folded[:-1], folded[-1])
+            else:
+                own = self.word.findall(folded)
+            out.extend(map(self.encode_word, own))
+        return b" ".join(out)
+
+    def encode_word(self, w: str) -> bytes:
+        """A word's ids, joined by spaces."""
         known = self.words.get(w)
         if known is None:
             own = [self.bytes[b] for b in w.encode()]
             own[-1] += "</w>"
-            known = self.automaton.encode(own)
+            known = b" ".join([b"%d" % i for i in self.automaton.encode(own)])
             if len(w) < 64:
                 if len(self.words) > WORDS:
                     self.words.clear()
@@ -247,7 +264,7 @@ class Encoder:
         return known
 
     def encode(self, text: str) -> list[int]:
-        return [i for c in text.encode().split() for i in self.chunk(c)]
+        return [int(i) for c in text.encode().split() for i in self.chunk(c).split()]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.labels[i] for i in ids)
@@ -260,7 +277,7 @@ class _Memory(dict):
         self.encoder = encoder
 
     def __missing__(self, key: bytes) -> bytes:
-        out = b" ".join([b"%d" % i for i in self.encoder.chunk(key)])
+        out = self.encoder.chunk(key)
         if len(key) < 64:
             if len(self) > REMEMBERED:
                 self.clear()

@@ -1,8 +1,11 @@
 """Operators of notelake.llm against brute force, round trips and odd inputs."""
 
 import hashlib
+import itertools
+import json
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -10,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from notelake.llm import bpe_automaton, chat_tree, components, decontaminate, entry, feistel, fertility, jaccard_join, pii_boost, secret_cnn, trie_counts, url_rules
+from notelake.llm import bpe_automaton, chat_tree, common, components, decontaminate, entry, feistel, fertility, jaccard_join, pii_boost, secret_cnn, trie_counts, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, node long, pii string"
 LONG = "very " * 30_000 + "x" * 50_000 + " 1" * 20_000 + " a@b" + ".c" * 20_000 + " " + "9" * 30_000
@@ -560,3 +563,37 @@ def test_jaccard_lists(monkeypatch, bits):
     want = {i: sorted(x for x in own.view(np.int64).tolist() if many[x] > 1) for i, own in sets.items()}
     assert got == {i: x for i, x in want.items() if len(x) >= 2} and 20 < len(got) < 80
     assert all(lengths[x] <= lengths[y] for x in lengths for y in lengths if many[x] <= many[y])
+
+
+def test_a_tokenizer_worker_stays_small():
+    words = ["".join(x) for x in itertools.islice(itertools.product("etaoinshrdlu", repeat=5), 100_000)]
+    spec = json.dumps(json.load(open(entry.WORD_BPE, encoding="utf-8")) | {"newer": bpe_automaton.newer()})
+    tracemalloc.start()
+    try:
+        e = bpe_automaton.Encoder(spec)
+        for w in words:
+            e.ids[(w + ",").encode()]
+        held = tracemalloc.get_traced_memory()[0] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert held < 75, held
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(entry.WORD_BPE)
+    for text in (words[7] + ",", words[7] + "7", words[7] + "'s", words[7] + "'", "a\x1c", "\x00", words[7] + "</w>", "<|endoftext|>x,<|endoftext|>"):
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert e.encode(text) == want
+        assert b" ".join(filter(None, (e.ids[c] for c in text.encode().split()))).split() == [b"%d" % i for i in want]
+
+
+def test_cutting_texts_takes_little_memory():
+    texts = pa.array([" ".join(f"w{i}x{j}" for i in range(1_000)) for j in range(500)])
+    tracemalloc.start()
+    try:
+        common._powers.clear()
+        n = sum(len(s) for _, s in jaccard_join.shingle_sets(texts, 5))
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert n == 500 * 996
+    assert most < 30, most
