@@ -199,6 +199,37 @@ def test_automaton_is_deterministic():
             assert state == e.automaton.target[token]
 
 
+def test_runs_side_by_side_equal_single_runs():
+    e = bpe_automaton.encoder(open(entry.WORD_BPE, encoding="utf-8").read())
+    r = random.Random(5)
+    words = [*{"".join(r.choice("abeinrst\u00e9\u65e5'%9") for _ in range(r.randint(1, 20))).encode() for _ in range(2_000)}, "\u00ff".encode(), b"a", b"a" * 300]
+    for _ in range(2):  # once with cells read from the differences, once with those remembered
+        ids, ends = e.automaton.encode_all(words)
+        for w, own in zip(words, np.split(ids, ends[:-1]), strict=True):
+            alone = [e.bytes[b] for b in w]
+            assert own.tolist() == e.automaton.encode([*alone[:-1], alone[-1] + "</w>"])
+
+
+def test_memory_of_chunks_turns_over(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe_automaton, "REMEMBERED", 40)
+    monkeypatch.setattr(bpe_automaton, "WORDS", 20)
+    monkeypatch.setattr(bpe_automaton, "CHUNKS", 15)
+    monkeypatch.setattr(bpe_automaton, "AT_ONCE", 300)
+    lib = Tokenizer.from_file(entry.WORD_BPE)
+    e = bpe_automaton.Encoder(open(entry.WORD_BPE, encoding="utf-8").read())
+    single = []
+    monkeypatch.setattr(e.automaton, "encode", lambda w, f=e.automaton.encode: single.append(w) or f(w))
+    r = random.Random(6)
+    texts = [None, "", *["".join(r.choice(["ab", "ing", "\u00c9", "9", "'s", "%", " ", " ", "\x85", "Er"]) for _ in range(r.randint(1, 60))) for _ in range(300)]]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [list(map(int, x.split())) for x in bpe_automaton._lines(e, pa.array(texts))] == want
+    assert len(e.ids) <= 40 and len(e.words) <= 20 and not single
+    odd = ["x" * 70 + "<|endoftext|>y", "<|endoftext|>\x85", "<|endoftext|>", "<a>"]
+    assert list(bpe_automaton._lines(e, pa.array(odd))) == [" ".join(map(str, lib.encode(t, add_special_tokens=False).ids)).encode() for t in odd]
+
+
 def test_newer_letters_equal_the_library():
     from tokenizers import Tokenizer
 
